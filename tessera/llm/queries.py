@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, dedup, tokens
+from . import chat, decontam, dedup, langid, mixing, pii, secrets, tokens
 
 QUERIES = {
+    "op1_source_mix": mixing.op1_source_mix,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": dedup.op3_exact_dedup,
+    "op4_decontamination": decontam.op4_decontamination,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op7_language_id": langid.op7_language_id,
     "op9_token_output": tokens.op9_token_output,
+    "op10_personal_data": pii.op10_personal_data,
 }
 
 ORACLE_SQL = {
+    "op1_source_mix": mixing.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op3_exact_dedup": dedup.OP3_SQL,
 }
