@@ -30,6 +30,7 @@ from .shared import documents, shared_dir, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 16
+RUN_FILTER_BYTES = 1 << 14
 
 
 def normalised(name: str = "text") -> Column:
@@ -54,10 +55,8 @@ def bloom_row(digests: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     The rows that meet in the last step are at most `words`, a constant.
     """
     filled = digests.groupBy(_word(F.col("digest"), words).alias("w")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
-    pairs = filled.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    return pairs.select(
-        F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("bloom")
-    )
+    every = digests.sparkSession.range(words).join(filled, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bloom"))
 
 
 def may_hold(bloom: Column, digest: Column, words: int = FILTER_WORDS) -> Column:
@@ -76,7 +75,8 @@ class LsmDigestIndex:
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}/run={self._next}"
         self._next += 1
-        run.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(RUN_FILTER_BYTES)}
+        run.sortWithinPartitions("digest").write.options(**options).parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -133,9 +133,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4) -> DataFrame:
     bloom = bloom_row(table.where("copies > 1").select("digest"))
     texts = (
         base.select("doc_id", "norm", F.unhex("text_sha256").alias("digest"))
-        .crossJoin(F.broadcast(bloom))
-        .where(may_hold(F.col("bloom"), F.col("digest")))
-        .select("doc_id", "norm", "digest")
+        .where(may_hold(bloom.scalar(), F.col("digest")))
     )
     hits = table.where("copies > 1").select(F.col("digest").alias("hit"), "keep_id")
     # keyed by digest and id, so the first rows of hot groups are found without gathering the groups
