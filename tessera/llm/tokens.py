@@ -6,9 +6,9 @@ half-written file):
 * `shard`, `frame`: a frame's place; frames follow one another by (shard, frame).
 * `doc_ids`, `lengths`: the documents of the frame, in order, and their numbers of ids.
 * `blocks`: the frame's ids in fixed-size blocks of `BLOCK` ids (the last may be short), each
-  `{n, planes}`.  A block of n ids, seen as an n x 32 bit matrix, is transposed; `planes` are its 32 bit
-  planes (most significant first), each compressed with zstandard.  `plane_bits=8` transposes bytes
-  instead (4 planes).  A plane of zeros is stored as an empty string.
+  `{n, planes}`.  A block of n ids, seen as an n x 4 byte matrix, is transposed; `planes` are its 4 byte
+  planes (most significant first), each compressed with zstandard.  `plane_bits=1` transposes bits
+  instead (32 planes): slower, and larger on 16-bit vocabularies.  A plane of zeros is stored as an empty string.
 * chunk index (second table): `shard, frame, first_start, n_ids, n_docs, block_bytes`.
 
 Scale: documents are dealt by ranges of doc_id into shards of bounded size; tasks stream and flush a
@@ -16,7 +16,7 @@ frame at about `FRAME` ids, so memory does not grow with a shard.  Starts come f
 (one row a shard goes to the driver) and a sum within each shard.  Reading is frame by frame, without
 a shuffle.
 
-Defined cases: null and empty texts are one id (the end id); equal doc_ids are ordered by text, so the
+Defined cases: null and empty texts are one id (the end id); equal doc_ids are ordered by a hash of the text, so the
 result does not depend on the partitioning; null doc_ids come first; an empty table gives an empty
 result; further columns are ignored.
 """
@@ -26,6 +26,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, shared_dir, text_of
+from .shared import batches, documents, shared_dir, text_of
 
 BLOCK = 32_768
 FRAME = 262_144
+GROUP = 400_000  # characters tokenised at once
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 LEVEL = 3
@@ -100,12 +102,15 @@ def unpack(blocks) -> np.ndarray:
 # exactly as the tokenizer itself does it; any other text goes to the tokenizer whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
-_KEEP = 400_000
-_LONG = 64
+_KEEP = 250_000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, with a bounded cache of the pieces' ids."""
+    """Ids of whole texts as little-endian bytes, with a bounded cache of the pieces' ids.
+
+    The cache has two generations: when the young one is full it becomes the old one, and pieces met
+    again move over, so frequent words stay and memory is bounded.
+    """
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,23 +120,44 @@ class Encoder:
             import public_tokenizers
 
             name = public_tokenizers.path(name)
-        self.tok, self.cache = Tokenizer.from_file(name), {}
+        self.tok, self.young, self.old = Tokenizer.from_file(name), {}, {}
         kind = str(self.tok.pre_tokenizer)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a piece
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.by_piece = "Removed" in kind and "ByteLevel" in kind and "Lowercase" in str(self.tok.normalizer)
 
-    def __call__(self, text: str) -> bytes:
-        if not self.by_piece or "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = _PIECE.findall(text.lower())
-        cache = self.cache
-        new = [p for p in set(pieces).difference(cache)]
-        if new:
-            if len(cache) > _KEEP:
-                cache.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+    def _pieces(self, new: list[str]):
+        """(piece, packed ids) of each piece; many go through the tokenizer as one text, cut after ids that end a piece."""
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
+            (e,) = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                yield from zip(part, map(raw.__getitem__, map(slice, [0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist())))
+            else:
+                yield from ((p, _packed(self.tok.encode(p, add_special_tokens=False).ids)) for p in part)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        pieces = [_PIECE.findall(t.lower()) if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+        needed = set().union(*(p for p in pieces if p))
+        if len(self.young) > _KEEP:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = needed.difference(young)
+        if old:
+            again = new.intersection(old)
+            young.update((p, old[p]) for p in again)
+            new -= again
+        young.update(self._pieces(list(new)))
+        whole = lambda t: _packed(self.tok.encode(t, add_special_tokens=False).ids)
+        return [whole(t) if p is None else b"".join(map(young.__getitem__, p)) for t, p in zip(texts, pieces)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -146,17 +172,19 @@ def encoder(name: str) -> Encoder:
 # ------------------------------------------------------------------ write and read
 
 
-def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str = TOKENIZER, plane_bits: int = 1, shards: int | None = None) -> None:
-    """Write docs(doc_id, text) to `path`/frames and `path`/index, ordered by the columns `order`."""
+def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str = TOKENIZER, plane_bits: int = 8, shards: int | None = None) -> None:
+    """Write docs(doc_id, text) to `path`/frames and `path`/index, ordered by the columns `order`
+    (`_tie` stands for a hash of the text)."""
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    tie = F.xxhash64(text_of())  # a sampled key must be small
+    keys = [(tie if c == "_tie" else F.col(c)).alias(f"_k{i}") for i, c in enumerate(order)]
     dealt = docs.select(*keys, F.col("doc_id"), text_of().alias("text"))
     names = [f"_k{i}" for i in range(len(order))]
     # shard numbers are those of the range partitions, so they follow the order
     dealt = dealt.repartitionByRange(n, *names).sortWithinPartitions(*names).select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
-    def encode(batches):
+    def encode(batches_):
         enc, end = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         ids, lens, parts, total, frame, shard = [], [], [], 0, 0, 0
 
@@ -164,16 +192,18 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
             flat = np.frombuffer(b"".join(parts), dtype="<u4")
             return pd.DataFrame({"shard": [shard], "frame": [frame], "n_ids": [len(flat)], "doc_ids": [list(ids)], "lengths": [list(lens)], "blocks": [pack(flat, plane_bits)]})
 
-        for batch in batches:
-            for d, t, shard in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("shard").to_pylist()):
-                raw = enc(t) + end
-                ids.append(d)
-                lens.append(len(raw) // 4)
-                parts.append(raw)
-                total += lens[-1]
-                if total >= FRAME:
-                    yield _arrow(flush())
-                    ids, lens, parts, total, frame = [], [], [], 0, frame + 1
+        for batch in batches_:
+            docs_, texts, shard = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("shard")[0].as_py() if len(batch) else shard
+            for a, b in batches(texts, GROUP):
+                for d, raw in zip(docs_[a:b], enc.many(texts[a:b])):
+                    raw += end
+                    ids.append(d)
+                    lens.append(len(raw) // 4)
+                    parts.append(raw)
+                    total += lens[-1]
+                    if total >= FRAME:
+                        yield _arrow(flush())
+                        ids, lens, parts, total, frame = [], [], [], 0, frame + 1
         if ids:
             yield _arrow(flush())
 
@@ -241,11 +271,11 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return frames.select("doc_ids", "lengths", "blocks", "first_start").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, order: list[str], tokenizer: str = TOKENIZER, plane_bits: int = 1) -> DataFrame:
+def token_output(docs: DataFrame, order: list[str], tokenizer: str = TOKENIZER, plane_bits: int = 8) -> DataFrame:
     path = shared_dir(docs.sparkSession, "tokens")
     write_tokens(docs, path, order, tokenizer, plane_bits)
     return read_digests(docs.sparkSession, path)
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output(documents(spark, sf_dir), ["doc_id", "text"])
+    return token_output(documents(spark, sf_dir), ["doc_id", "_tie"])
