@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, shared_dir, text_of
+from .shared import documents, shared_dir, stored, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 16
@@ -127,13 +127,14 @@ def exact_dedup(docs: DataFrame, memtables: int = 4) -> DataFrame:
     index.compact_all()
 
     table = index.table()
-    probed = narrow.select("doc_id", "text_sha256", "digest").join(table, "digest")
+    probed = stored(narrow.select("doc_id", "text_sha256", "digest").join(table, "digest"), "lsm-probed")
 
     # Byte verification of the hits: the text of each row against the text of the row it points at.
-    bloom = bloom_row(table.where("copies > 1").select("digest"))
+    # The bitmap is of the hits' ids, so other rows are left out before their text is touched.
+    bloom = bloom_row(probed.where("copies > 1").select(F.col("doc_id").alias("digest")))
     texts = (
-        base.select("doc_id", "norm", F.unhex("text_sha256").alias("digest"))
-        .where(may_hold(bloom.scalar(), F.col("digest")))
+        base.where(may_hold(bloom.scalar(), F.col("doc_id")))
+        .select("doc_id", "norm", F.unhex("text_sha256").alias("digest"))
     )
     hits = table.where("copies > 1").select(F.col("digest").alias("hit"), "keep_id")
     # keyed by digest and id, so the first rows of hot groups are found without gathering the groups
