@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .shared import batches, documents, mix64, text_of, words_of
 
 # The masks.  Each keeps 7 of 11 positions.
@@ -133,7 +134,7 @@ def _blocks(benchmark: DataFrame):
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per pair of document and benchmark item that overlap:
     doc_id, item_id, n_places (diagonals), and first word, words and matching words of the best place."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = spark.createDataFrame([], SCHEMA)
     for items in _blocks(benchmark):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .shared import batches, documents
 
 HIDDEN = 8
@@ -209,7 +210,7 @@ def identify(docs: DataFrame, net: ByteGru | None = None, keep_text: bool = Fals
     With keep_text every column of docs comes back too (`_lang_pred`, `_score`), for filtering in one pass.
     """
     net = net or train(training_rows(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(net)
 
     def label(texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = shared.value

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder for intermediate tables, under the cluster's spark.checkpoint.dir.
@@ -30,13 +32,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
+    path = shared_dir(ship(df.sparkSession), tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_of(name: str = "text") -> Column:
@@ -154,8 +156,8 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): O(log^2 n) rounds, each round
     written to the shared folder.  Star steps only ever send a node's neighbours through an aggregate
-    `min` and a join, so no neighbourhood is collected.  Both joins carry the hub as a key and are
-    split by AQE where one hub is hot.
+    `min` and a join, so no neighbourhood is collected.  The minima are written first, so the joins stand
+    between plain exchanges, which AQE splits where one hub is hot.
     """
     pairs = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
@@ -164,10 +166,10 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     for _ in range(max_rounds):
         # large-star: every neighbour larger than u is linked to u's smallest neighbour (or u itself)
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-cc")
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-cc")
         # small-star: smaller neighbours of u and u itself are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-cc")
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .shared import batches, documents, shared_dir, text_of
 
 BLOCK = 32_768
@@ -175,7 +176,7 @@ def encoder(name: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str = TOKENIZER, plane_bits: int = 8, shards: int | None = None) -> None:
     """Write docs(doc_id, text) to `path`/frames and `path`/index, ordered by the columns `order`
     (`_tie` stands for a hash of the text)."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(text_of())  # a sampled key must be small
     keys = [(tie if c == "_tie" else F.col(c)).alias(f"_k{i}") for i, c in enumerate(order)]
@@ -250,7 +251,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
-    frames = read_frames(spark, path).join(read_index(spark, path).select("shard", "frame", "first_start"), ["shard", "frame"])
+    frames = read_frames(ship(spark), path).join(read_index(spark, path).select("shard", "frame", "first_start"), ["shard", "frame"])
 
     def digest(batches):
         for batch in batches:
