@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, dedup, langid, mixing, nearjoin, pii, secrets, tokens
+from . import chat, decontam, dedup, langid, mixing, nearjoin, pii, rindex, secrets, tokens
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": dedup.op3_exact_dedup,
     "op4_decontamination": decontam.op4_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_substring_dedup": rindex.op6_substring_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_near_join": nearjoin.op8_near_join,
     "op9_token_output": tokens.op9_token_output,
