@@ -8,12 +8,18 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+# Arrow batches are bounded by bytes, not rows alone: texts differ in length by orders of magnitude.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = 4 << 20
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors once per application (the driver serves the archive)."""
     context = spark.sparkContext
+    if not spark.conf.get(BATCH_BYTES, None) or int(spark.conf.get(BATCH_BYTES)) < 0 or int(spark.conf.get(BATCH_BYTES)) > BATCH_LIMIT:
+        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
     if context.applicationId not in _shipped:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         if os.path.isdir(top):  # inside an archive there is nothing to send: it was sent before
