@@ -136,7 +136,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(acc)
 
 
-def batches(texts: list[str], limit: int = 2_000_000):
+def batches(texts: list[str], limit: int = 1_000_000):
     """Index ranges of texts whose joined length stays near limit characters."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
