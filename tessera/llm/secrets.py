@@ -8,11 +8,11 @@ matches, whose lengths add up to them.
 scored with two first-order character models, one of random strings and one of ordinary identifiers.
 A run is reported where the mean log-likelihood ratio (bits per transition) reaches `THRESHOLD`.
 The models are trained from labelled samples: random strings drawn from digests (base64, base-16 and
-mixed case, `SAMPLE` of each), and identifiers taken from the words of at most `SAMPLE` documents without base
-spans, chosen by a hash of doc_id.  Only transition counts, at most alphabet^2 per model, reach the
+mixed case, `SAMPLE` of each), and identifiers taken from the words of about `SAMPLE` documents without base
+spans: those whose hash of doc_id falls into a share of its range.  Only transition counts, at most alphabet^2 per model, reach the
 driver; they become one literal array.
 
-Scale: one pass over the texts and no shuffle besides the bounded training sample.
+Scale: one pass over the texts and no shuffle besides the transition counts of the bounded training sample.
 
 Defined cases: null and empty texts have no spans; one result row per row of the table, repeated rows
 included; without any identifier to learn from, the identifier model is uniform; an empty table gives
@@ -82,8 +82,9 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     random = seeds.select(
         F.explode(F.array(F.col("h"), F.regexp_replace(F.base64(F.unhex("h")), "=+$", ""), F.upper(F.base64(F.unhex(F.sha2("h", 256)))))).alias("word")
     )
-    # bounded: at most `sample` texts, those of the smallest hashes, whatever their number
-    texts = docs.select(F.xxhash64("doc_id").alias("h"), text_of().alias("text")).where(F.col("text") != "").orderBy("h", "text").limit(sample)
+    # about `sample` texts whatever their number: those whose hash falls into the right share of its range
+    share = int((1 << 31) * min(1.0, sample / max(1, docs.count())))
+    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share).select(text_of().alias("text")).where(F.col("text") != "")
     words = (
         texts.where(F.size(base_spans(F.col("text"))) == 0)
         .select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("word"))
