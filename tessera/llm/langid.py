@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ship import ship
 from .shared import batches, documents
@@ -195,10 +196,15 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, rounds: int = RO
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """At most PER_LANGUAGE pieces of each language; Spark limits each task's rows before they meet."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    if not known:
+        return []
     h = F.xxhash64(F.col("doc_id"), F.col("text"))
+    # a share of the hashes that leaves about twice the rows wanted, so that few rows meet at any scale
+    share = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, int((1 << 31) * min(1.0, 2 * PER_LANGUAGE / n)))])
+    rows = rows.where(F.pmod(F.xxhash64(h), F.lit(1 << 31)) < F.element_at(share, F.col("lang")))
     begin = F.pmod(h, F.greatest(F.length("text") - PIECE, F.lit(1))).cast("int") + 1
-    pieces = rows.where(F.col("lang").isin(known)).select("lang", h.alias("h"), F.substr("text", begin, F.lit(PIECE)).alias("text"))
+    pieces = rows.where(F.col("lang").isin(list(known))).select("lang", h.alias("h"), F.substr("text", begin, F.lit(PIECE)).alias("text"))
     w = Window.partitionBy("lang").orderBy("h", "text")
     few = pieces.withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_LANGUAGE)
     return [(r["lang"], r["text"]) for r in few.orderBy("lang", "n").collect()]
@@ -231,7 +237,7 @@ def identify(docs: DataFrame, net: ByteGru | None = None, keep_text: bool = Fals
                 said, score = label(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said), pa.array(score, pa.float64())], names=[*names, "_lang_pred", "_score"])
 
-        schema = docs.schema.add("_lang_pred", "string").add("_score", "double")
+        schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
         return docs.mapInArrow(filtered, schema)
 
     def predict(batches_):

@@ -231,7 +231,7 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids(doc_id); repeated rows of other ids in ids' reach shrink to one.
+    """docs without the rows whose doc_id is in ids(doc_id).
 
     A fixed-size bitmap lets most rows pass without a shuffle; only rows that may be concerned are joined.
     """
@@ -243,5 +243,14 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sure.unionByName(rest)
 
 
+def keep_one(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without the ids of `gone`, and with one row for each id of `again` (ids that repeat)."""
+    docs = drop_ids(docs, gone)
+    bloom = bloom_row(again.select(F.col("doc_id").alias("digest"))).scalar()
+    flagged = docs.withColumn("_maybe", F.col("doc_id").isNotNull() & may_hold(bloom, F.col("doc_id").cast("long")))
+    once = flagged.where("_maybe").drop("_maybe").dropDuplicates(["doc_id"])
+    return flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(once)
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(documents(spark, sf_dir))

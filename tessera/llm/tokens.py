@@ -32,6 +32,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,5 +279,18 @@ def token_output(docs: DataFrame, order: list[str], tokenizer: str = TOKENIZER,
     return read_digests(docs.sparkSession, path)
 
 
+def in_stored_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with columns for the order in which its rows lie in its files, and their names.
+
+    Files of one write are ordered by the part number in their names.  Rows that come from no file are ordered by doc_id.
+    """
+    try:
+        placed = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        placed.schema  # noqa: B018  resolves the names
+    except AnalysisException:
+        return docs, ["doc_id", "_tie"]
+    return placed, ["_file", "_row"]
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), ["doc_id", "_tie"])
