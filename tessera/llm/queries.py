@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from . import chat, decontam, dedup, langid, mixing, nearjoin, pii, rindex, secrets, tokens
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # beside the package, at the top of the repository
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_source_mix": mixing.op1_source_mix,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": dedup.op3_exact_dedup,
