@@ -134,25 +134,26 @@ def _near(text: str, spans) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-NEAR = "array<struct<entity:long,term:long,start:int,end:int,fresh:boolean>>"
+NEAR = "array<struct<entity:long,term:long,start:int,end:int,fresh:boolean,first:boolean>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEARS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("fresh", pa.bool_())]))
+_NEARS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("fresh", pa.bool_()), ("first", pa.bool_())]))
 
 
 def _scan(batches_):
     """Base spans of each text and the terms near them; `fresh` marks a document's first sight of a pair,
-    and an entity itself comes with a null term."""
+    `first` that of a term, and an entity itself comes with a null term."""
     for batch in batches_:
         base, near = [], []
         for text in batch.column("text").to_pylist():
             spans = find_base(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            rows, seen = [], set()
+            rows, seen, terms_seen = [], set(), set()
             for entity, terms in _near(text, spans) if spans else ():
                 e, *keys = keys_of([entity, *(t for t, _, _ in terms)])
                 for t, a, b in [(None, 0, 0), *((k, a, b) for k, (_, a, b) in zip(keys, terms))]:
-                    rows.append({"entity": e, "term": t, "start": a, "end": b, "fresh": (e, t) not in seen})
+                    rows.append({"entity": e, "term": t, "start": a, "end": b, "fresh": (e, t) not in seen, "first": t is not None and t not in terms_seen})
                     seen.add((e, t))
+                    terms_seen.add(t)
             near.append(rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, _SPANS), pa.array(near, _NEARS)], names=["doc_id", "key", "base", "near"])
 
@@ -165,11 +166,15 @@ def scanned(docs: DataFrame) -> DataFrame:
 _BITS = 1 << 22
 
 
+def _totals(totals: dict[int, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["term", "n"])
+
+
 def term_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, t_docs): the number of documents that hold each wanted term.
 
     A bitmap of the wanted hashes (512 KiB whatever their number) drops other words on the spot; what
-    passes is counted per batch, then by key, and joined with the wanted terms.
+    passes is counted per task, then by key, and joined with the wanted terms.
     """
     spark = texts.sparkSession
     at = np.array([r[0] for r in wanted.select(F.pmod("term", F.lit(_BITS)).cast("int").alias("b")).distinct().collect()], dtype=np.int64)
@@ -178,7 +183,7 @@ def term_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def count(batches_):
-        known = np.unpackbits(shared.value).view(bool)
+        known, totals = np.unpackbits(shared.value).view(bool), {}
         for batch in batches_:
             all_texts = batch.column("text").to_pylist()
             for a, b in batches(all_texts):
@@ -187,46 +192,36 @@ def term_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 keep = known[(words % np.uint64(_BITS)).astype(np.int64)]
                 pairs = np.unique(np.stack([words[keep], doc[keep].astype(np.uint64)]), axis=1)
                 terms, n = np.unique(pairs[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+                for t, k in zip(terms.view(np.int64).tolist(), n.tolist()):
+                    totals[t] = totals.get(t, 0) + k
+                if len(totals) > 500_000:
+                    yield _totals(totals)
+                    totals = {}
+        if totals:
+            yield _totals(totals)
 
     counts = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("t_docs"))
     return counts.join(wanted, "term")
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) hashes where the term's PMI with the entity reaches alpha times the entity's information."""
-    texts = docs.select(text_of().alias("text"))
-    pairs = stored(
-        texts.mapInArrow(_pairs, "entity long, term long, docs long").groupBy("entity", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= support),
-        "pii-pairs",
-    )
-    wanted = pairs.where("term is not null").select("term").distinct()
-    n = docs.count()
-    if n == 0 or wanted.isEmpty():
-        return docs.sparkSession.createDataFrame([], "entity long, term long")
-
-    df = term_frequencies(texts, wanted)
-    own = pairs.where("term is null").select("entity", F.col("docs").alias("e_docs"))
-    joined = pairs.where("term is not null").join(own, "entity").join(df, "term")
-    pmi = F.log2(F.col("docs") * F.lit(float(n)) / (F.col("t_docs") * F.col("e_docs")))
-    ic = F.log2(F.lit(float(n)) / F.col("e_docs"))
-    return joined.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
-
-
 def disclosing_terms(seen: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term) hashes where the term's PMI with the entity reaches alpha times the entity's information."""
     near = seen.select(F.explode("near").alias("p")).select("p.*")
     pairs = stored(near.where("fresh").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support), "pii-pairs")
-    wanted = pairs.where("term is not null").select("term").distinct()
-    if wanted.isEmpty():
-        return pairs.select("entity", "term")
     n = seen.count()
-    df = term_frequencies(docs.select(text_of().alias("text")), wanted)
     own = pairs.where("term is null").select("entity", F.col("docs").alias("e_docs"))
-    joined = pairs.where("term is not null").join(own, "entity").join(df, "term")
-    pmi = F.log2(F.col("docs") * F.lit(float(n)) / (F.col("t_docs") * F.col("e_docs")))
+    # documents that hold a term near some entity are a lower bound of those that hold it, so a pair
+    # that falls short with that bound falls short with the count
+    least = near.where("first").groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    joined = pairs.where("term is not null").join(own, "entity").join(least, "term")
     ic = F.log2(F.lit(float(n)) / F.col("e_docs"))
-    return joined.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    pmi = lambda t_docs: F.log2(F.col("docs") * F.lit(float(n)) / (F.col(t_docs) * F.col("e_docs")))
+    joined = stored(joined.where((ic > 0) & (pmi("least") >= alpha * ic)), "pii-candidates")
+    wanted = joined.select("term").distinct()
+    if wanted.isEmpty():
+        return joined.select("entity", "term")
+    df = term_frequencies(docs.select(text_of().alias("text")), wanted)
+    return joined.join(df, "term").where(pmi("t_docs") >= alpha * ic).select("entity", "term")
 
 
 def scan_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
