@@ -37,7 +37,7 @@ from .shared import _BYTE_CODE, batches, documents, mix64, positional_powers, sh
 
 LENGTH = 400
 CORE = 200
-MOST = 256
+MOST = 512
 SHARD = 1_500_000
 
 # ------------------------------------------------------------------ kernels
@@ -195,7 +195,8 @@ class RunLengthIndex:
 # ------------------------------------------------------------------ stages
 
 _HIT = "array<struct<h:long,lo:int,hi:int,p:int>>"
-_CTX = "h long, cd binary, amin int, amax int, d long, t long, lo int, ctx binary"
+_PLACE = "h long, cd binary, amin int, amax int, d long, t long, lo int"
+_CTX = "h long, cd binary, amin int, amax int, m long, ctx binary"
 _RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
@@ -216,38 +217,44 @@ def _digest(ctx: bytes, amax: int) -> bytes:
     return hashlib.blake2b(ctx, digest_size=16, salt=amax.to_bytes(4, "little", signed=True)).digest()
 
 
-def _context_rows(batches_):
-    """Contexts of the hits; within a batch the bytes of equal contexts come once."""
+def _batch(rows, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
+
+
+def _place_rows(batches_):
+    """Each hit's context by its digest, and where it lies."""
     for batch in batches_:
         texts, hits = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
-        ds, ts = batch.column("d").to_pylist(), batch.column("t").to_pylist()
-        rows, seen, size = [], set(), 0
-        for text, found, d, t in zip(texts, hits, ds, ts):
+        rows = []
+        for text, found, d, t in zip(texts, hits, batch.column("d").to_pylist(), batch.column("t").to_pylist()):
             raw = text.encode("utf-8", "surrogatepass")
             for x in found:
                 h, lo, hi, p = x["h"], x["lo"], x["hi"], x["p"]
-                ctx = raw[lo : hi + LENGTH]
-                cd = _digest(ctx, p - lo)
-                new = (h, cd) not in seen
-                if new:
-                    seen.add((h, cd))
-                    size += len(ctx)
-                rows.append((h, cd, p - hi, p - lo, d, t, lo, ctx if new else None))
-            if size > 8_000_000:
-                yield _context_batch(rows)
-                rows, seen, size = [], set(), 0
-        if rows:
-            yield _context_batch(rows)
+                rows.append((h, _digest(raw[lo : hi + LENGTH], p - lo), p - hi, p - lo, d, t, lo))
+        yield _batch(rows, _PLACE)
 
 
-def _context_batch(rows):
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _CTX.split(", ")])
+def _context_rows(batches_):
+    """The bytes of the wanted contexts."""
+    for batch in batches_:
+        rows, size = [], 0
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            raw = text.encode("utf-8", "surrogatepass")
+            for x in wanted:
+                ctx = raw[x["lo"] : x["lo"] + x["amax"] - x["amin"] + LENGTH]
+                size += len(ctx)
+                rows.append((x["h"], x["cd"], x["amin"], x["amax"], x["m"], ctx))
+            if size > 4_000_000:
+                yield _batch(rows, _CTX)
+                rows, size = [], 0
+        yield _batch(rows, _CTX)
 
 
 def _index_rows(batches_):
     """Rows (key, cd, ctx) in the order of key -> (key, cd, ranges); shards are cut between keys."""
-    keys, cds, ctxs, size = [], [], [], 0
+    keys, cds, ctxs, size, seen = [], [], [], 0, set()
 
     def flush():
         found = RunLengthIndex(ctxs).repeated()
@@ -258,9 +265,14 @@ def _index_rows(batches_):
 
     for batch in batches_:
         for key, cd, ctx in zip(batch.column("key").to_pylist(), batch.column("cd").to_pylist(), batch.column("ctx").to_pylist()):
-            if size > SHARD and key != keys[-1]:
-                yield flush()
-                keys, cds, ctxs, size = [], [], [], 0
+            if not keys or key != keys[-1]:
+                if size > SHARD:
+                    yield flush()
+                    keys, cds, ctxs, size = [], [], [], 0
+                seen = set()
+            if cd in seen:  # rows that repeat hand in their contexts again
+                continue
+            seen.add(cd)
             keys.append(key)
             cds.append(cd)
             ctxs.append(ctx)
@@ -336,23 +348,29 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     hits = stored(hits, "rindex-hits")
     bloom = bloom_row(hits.select(F.col("hd").alias("digest"))).scalar()
     held = long_ones.where(may_hold(bloom, F.col("d"))).join(hits, F.col("d").eqNullSafe(F.col("hd")) & (F.col("t") == F.col("ht")))
-    at = shared_dir(docs.sparkSession, "rindex-contexts")
-    held.select("d", "t", "text", "hits").mapInArrow(_context_rows, _CTX).write.option("compression", "zstd").parquet(at)
-    contexts = docs.sparkSession.read.schema(_CTX).parquet(at)
+    places = stored(held.select("d", "t", "text", "hits").mapInArrow(_place_rows, _PLACE), "rindex-places")
 
-    stats = stored(contexts.groupBy("h", "cd").agg(F.count(F.lit(1)).alias("n"), F.min("amin").alias("amin"), F.min("amax").alias("amax")), "rindex-stats")
+    # one of a context's places stands for it; only contexts of anchors with several are cut out
+    one = F.min(F.struct("d", "t", "lo")).alias("o")
+    stats = stored(places.groupBy("h", "cd").agg(F.count(F.lit(1)).alias("n"), F.min("amin").alias("amin"), F.min("amax").alias("amax"), one), "rindex-stats")
     groups = stored(stats.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "rindex-groups")
-    wide = contexts.where("ctx is not null").select("h", "cd", "amin", "amax", "ctx").join(groups, "h")
-    one = lambda cond: wide.where(cond).groupBy("h", "cd").agg(F.any_value("ctx").alias("ctx"), F.min("amin").alias("amin"), F.min("amax").alias("amax"))
-    marks = _indexed(one(F.col("m") <= MOST).withColumnRenamed("h", "key")).withColumnRenamed("key", "h")
+    wanted = stats.join(groups, "h").groupBy(F.col("o.d").alias("hd"), F.col("o.t").alias("ht")).agg(F.collect_list(F.struct("h", "cd", "amin", "amax", "m", "o.lo")).alias("wanted"))
+    wanted = stored(wanted, "rindex-wanted")
+    bloom = bloom_row(wanted.select(F.col("hd").alias("digest"))).scalar()
+    asked = long_ones.where(may_hold(bloom, F.col("d"))).join(wanted, F.col("d").eqNullSafe(F.col("hd")) & (F.col("t") == F.col("ht")))
+    at = shared_dir(docs.sparkSession, "rindex-contexts")
+    asked.select("text", "wanted").mapInArrow(_context_rows, _CTX).write.option("compression", "zstd").parquet(at)
+    contexts = docs.sparkSession.read.schema(_CTX).parquet(at)
+    small = contexts.where(F.col("m") <= MOST).select(F.col("h").alias("key"), "cd", "ctx")
+    marks = _indexed(small).withColumnRenamed("key", "h")
     if not groups.where(F.col("m") > MOST).isEmpty():
-        marks = marks.unionByName(_split_marks(stored(one(F.col("m") > MOST), "rindex-big")))
+        marks = marks.unionByName(_split_marks(contexts.where(F.col("m") > MOST)))
     single = stats.where("n = 1").select("h", "cd")
     marks = marks.join(single, ["h", "cd"], "left_semi")
     whole = stats.where("n > 1").select("h", "cd", F.array(F.struct(F.lit(0).alias("first"), (F.col("amax") - F.col("amin")).alias("last"))).alias("ranges"))
     marks = stored(whole.unionByName(marks), "rindex-marks")
 
-    placed = contexts.select("h", "cd", "d", "t", "lo").join(marks, ["h", "cd"])
+    placed = places.select("h", "cd", "d", "t", "lo").join(marks, ["h", "cd"])
     placed = placed.select("d", "t", F.transform("ranges", lambda r: F.struct((r["first"] + F.col("lo")).alias("first"), (r["last"] + F.col("lo") + LENGTH - 1).alias("last"))).alias("r"))
     return placed.groupBy("d", "t").agg(F.flatten(F.collect_list("r")).alias("ranges"))
 
