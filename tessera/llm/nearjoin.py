@@ -130,7 +130,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     lv, li = np.searchsorted(known, lv[keep]), li[keep]
     keep = np.isin(rv, known)
     rv, ri = np.searchsorted(known, rv[keep]), ri[keep]
-    width = max(256, (1 << 22) // (len(left) + len(right)))  # columns at a time: bounded memory
+    width = min(len(known), max(256, (1 << 21) // (len(left) + len(right))))  # columns at a time: bounded memory
     for at in range(0, len(known), width):
         a, b = np.zeros((len(left), width), dtype=np.float32), np.zeros((len(right), width), dtype=np.float32)
         m = (lv >= at) & (lv < at + width)
