@@ -92,8 +92,16 @@ def bit_difference(a: Column, b: Column) -> Column:
 # ------------------------------------------------------------------ 8-bit floats: sign, 3 exponent, 4 mantissa bits, bias 3
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: nested expressions stay small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def minifloat_decode(code: Column) -> Column:
-    code = code.cast("int")
+    return let(code.cast("int"), _decoded)
+
+
+def _decoded(code: Column) -> Column:
     exponent = F.shiftright(code, 4).bitwiseAND(F.lit(7))
     mantissa = code.bitwiseAND(F.lit(15)).cast("double")
     size = (
@@ -107,6 +115,10 @@ def minifloat_decode(code: Column) -> Column:
 
 def minifloat_encode(value: Column) -> Column:
     """The mantissa is cut, not rounded; over 15.5 is infinity, under 1/64 zero, NaN 0x7F."""
+    return let(value.cast("double"), _encoded)
+
+
+def _encoded(value: Column) -> Column:
     v = F.abs(value)
     sign = F.when(value < 0, 128).otherwise(0)
     code = F.when(v > 15.5, 7 * 16).when(v < 1 / 64, 0).when(v < 0.25, F.floor(v * 64).cast("int"))
