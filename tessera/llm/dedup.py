@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, shared_dir, stored, text_of
+from .shared import documents, fewer_files, shared_dir, stored, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 16
@@ -76,7 +76,7 @@ class LsmDigestIndex:
         path = f"{self.path}/level={level}/run={self._next}"
         self._next += 1
         options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(RUN_FILTER_BYTES)}
-        run.sortWithinPartitions("digest").write.options(**options).parquet(path)
+        fewer_files(run).sortWithinPartitions("digest").write.options(**options).parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -116,7 +116,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4) -> DataFrame:
     base = docs.select(F.col("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
     narrow_at = shared_dir(spark, "lsm-digests")
     # the batch of a row follows from its id alone, so a task run again feeds the same memtables
-    base.select(
+    fewer_files(base).select(
         "doc_id", "text_sha256", F.unhex("text_sha256").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("batch")
     ).write.partitionBy("batch").parquet(narrow_at)
     schema = "doc_id long, text_sha256 string, digest binary, batch int"
@@ -139,9 +139,7 @@ def exact_dedup(docs: DataFrame, memtables: int = 4) -> DataFrame:
     hits = table.where("copies > 1").select(F.col("digest").alias("hit"), "keep_id")
     # keyed by digest and id, so the first rows of hot groups are found without gathering the groups
     firsts = texts.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("norm").alias("keep_norm"))
-    unlike_at = shared_dir(spark, "lsm-unlike")
-    texts.join(firsts, "digest").where("norm <> keep_norm").select("doc_id", "digest", "norm").write.parquet(unlike_at)
-    unlike = spark.read.schema("doc_id long, digest binary, norm string").parquet(unlike_at)
+    unlike = stored(texts.join(firsts, "digest").where("norm <> keep_norm").select("doc_id", "digest", "norm"), "lsm-unlike")
 
     if unlike.isEmpty():  # every hit has the bytes of the row it points at
         out = probed.select("doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dedup import bloom_row, may_hold
-from .shared import _BYTE_CODE, batches, documents, mix64, positional_powers, shared_dir, stored, text_of
+from .shared import _BYTE_CODE, batches, documents, fewer_files, mix64, positional_powers, shared_dir, stored, text_of
 
 LENGTH = 400
 CORE = 200
@@ -359,7 +359,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     bloom = bloom_row(wanted.select(F.col("hd").alias("digest"))).scalar()
     asked = long_ones.where(may_hold(bloom, F.col("d"))).join(wanted, F.col("d").eqNullSafe(F.col("hd")) & (F.col("t") == F.col("ht")))
     at = shared_dir(docs.sparkSession, "rindex-contexts")
-    asked.select("text", "wanted").mapInArrow(_context_rows, _CTX).write.option("compression", "zstd").parquet(at)
+    fewer_files(asked.select("text", "wanted").mapInArrow(_context_rows, _CTX)).write.option("compression", "zstd").parquet(at)
     contexts = docs.sparkSession.read.schema(_CTX).parquet(at)
     small = contexts.where(F.col("m") <= MOST).select(F.col("h").alias("key"), "cd", "ctx")
     marks = _indexed(small).withColumnRenamed("key", "h")

@@ -30,10 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_dir(spark, "probe")
 
 
+def fewer_files(df: DataFrame) -> DataFrame:
+    """At most four partitions for each core of the cluster: many small ones are read in turn, without a shuffle."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_dir(ship(df.sparkSession), tag)
-    df.write.parquet(path)
+    fewer_files(df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
