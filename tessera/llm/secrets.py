@@ -4,11 +4,11 @@
 positions, but `split` by a pattern and `regexp_extract_all` of it give the texts between and of the
 matches, whose lengths add up to them.
 
-*Markov spans* (kind `markov`): runs of key characters of `MIN_RUN` or more that overlap no base span are
-scored with two first-order character models, one of random strings and one of ordinary identifiers.
+*Markov spans* (kind `markov`): runs of key characters of `MIN_RUN` or more, with letters and digits, that overlap no base
+span are scored with two first-order character models, one of random strings and one of ordinary identifiers.
 A run is reported where the mean log-likelihood ratio (bits per transition) reaches `THRESHOLD`.
 The models are trained from labelled samples: random strings drawn from digests (base64, base-16 and
-mixed case, `SAMPLE` of each), and identifiers taken from the words of about `SAMPLE` documents without base
+mixed case, `SAMPLE` of each), and identifiers made of the words (alone, and pairs in camel, snake and upper case) of about `SAMPLE` documents without base
 spans: those whose hash of doc_id falls into a share of its range.  Only transition counts, at most alphabet^2 per model, reach the
 driver; they become one literal array.
 
@@ -31,7 +31,7 @@ from .shared import documents, text_of
 # The base patterns, in their order, and how long what they find must be.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]+"  # the runs of 24 or more of it
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -39,6 +39,7 @@ MIN_RUN = 16
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE = 4_000
 THRESHOLD = 1.0
+SMOOTHING = 10.0
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
@@ -60,7 +61,7 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
 
 def base_spans(text: Column) -> Column:
     # the length bounds are in the quick test too: a text without a long enough match is done after it
-    long_hex = F.when(text.rlike("[0-9a-f]{24}"), _spans(text, HEX + "{24,}", 2, lambda h: F.lit(True)))
+    long_hex = F.when(text.rlike("[0-9a-f]{24}"), _spans(text, "[0-9a-f]{24,}", 2, lambda h: F.lit(True)))
     access = F.when(text.rlike("AKIA[A-Z0-9]{16}"), _spans(text, ACCESS, 1, lambda h: F.length(h) >= 20))
     assign = _spans(text, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 1)) >= 6)
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -85,10 +86,12 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     # about `sample` texts whatever their number: those whose hash falls into the right share of its range
     share = int((1 << 31) * min(1.0, sample / max(1, docs.count())))
     texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share).select(text_of().alias("text")).where(F.col("text") != "")
-    words = (
-        texts.where(F.size(base_spans(F.col("text"))) == 0)
-        .select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{3,}"), F.lit(0))).alias("word"))
+    words = texts.where(F.size(base_spans(F.col("text"))) == 0).select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_]{3,}"), F.lit(0)).alias("w"))
+    a, b = F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1)
+    words = words.where(F.size("w") > 1).select(
+        "w", F.zip_with(a, b, lambda x, y: F.concat(F.lower(x), F.initcap(y))).alias("camel"), F.zip_with(a, b, lambda x, y: F.concat_ws("_", F.lower(x), F.lower(y))).alias("snake")
     )
+    words = words.select(F.explode(F.concat("w", "camel", "snake", F.transform("snake", lambda x: F.upper(x)))).alias("word"))
     return random.select(F.lit(1).alias("label"), "word").unionAll(words.select(F.lit(0).alias("label"), "word"))
 
 
@@ -99,14 +102,17 @@ def ratio_table(samples: DataFrame) -> list[float]:
     codes = samples.select("label", F.transform(F.split("word", ""), code).alias("c"))
     pairs = codes.select("label", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * n + b)).alias("ab"))
     counts = {(r["label"], r["ab"]): r["count"] for r in pairs.groupBy("label", "ab").count().collect()}  # 2 * n^2 rows at most
-    table = [[1.0] * (n * n), [1.0] * (n * n)]
-    for (label, ab), c in counts.items():
-        table[label][ab] += c
-    out = []
-    for a in range(n):
-        total = [sum(table[k][a * n : a * n + n]) for k in (0, 1)]
-        out += [math.log2(table[1][a * n + b] / total[1]) - math.log2(table[0][a * n + b] / total[0]) for b in range(n)]
-    return out
+    logs = []
+    for label in (0, 1):
+        # a letter's followers are smoothed by the letters' own frequencies, those by half a count each
+        own = [0.5 + sum(counts.get((label, a * n + b), 0) for a in range(n)) for b in range(n)]
+        all_own = sum(own)
+        rows = []
+        for a in range(n):
+            row = [counts.get((label, a * n + b), 0) for b in range(n)]
+            rows += [math.log2((c + SMOOTHING * own[b] / all_own) / (sum(row) + SMOOTHING)) for b, c in enumerate(row)]
+        logs.append(rows)
+    return [r - i for i, r in zip(*logs)]
 
 
 def mean_ratio(run: Column, table: list[float]) -> Column:
@@ -121,7 +127,7 @@ def scan_secrets(docs: DataFrame, table: list[float] | None = None, threshold: f
     """doc_id, text, base (array of spans) and added (array of Markov spans)."""
     table = table or ratio_table(labelled_samples(docs))
     found = docs.select("doc_id", text_of().alias("text")).withColumn("base", base_spans(F.col("text")))
-    runs = _spans(F.col("text"), RUN, 3, lambda h: mean_ratio(h, table) >= threshold)
+    runs = _spans(F.col("text"), RUN, 3, lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]") & (mean_ratio(h, table) >= threshold))
     return found.withColumn(
         "added", F.filter(runs, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     )
