@@ -1,0 +1,105 @@
+"""An experimental anchored stream cipher (not for real data), over whole batches of messages at once.
+
+The state of n messages is an 8 x n array of 64-bit words; every step is a numpy operation on all messages,
+and messages drop out of the active set as their blocks end.  The first 32 bytes of a plaintext, its
+anchor, are part of the initial state, so a package only opens with key, nonce and anchor.
+
+Package: length (8 bytes, little-endian), nonce (16), ciphertext in blocks of 32, tag (16).
+"""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+from .codecs import mixer
+
+# Sizes, the seed of the constants, and the words that separate the uses of the sponge.
+LANES, RATE, BLOCK, ROUNDS, BOXES = 8, 4, 32, 12, 16
+SEED = 0x9E3779B97F4A7C15
+KEY_USE, HASH_USE, TAG_USE = 0x4B45592D53434845, 0x484153482D2D2D2D, 1 << 63
+
+_stream = mixer(SEED, np.arange(3 * BOXES + 128))
+_boxes = _stream[: 3 * BOXES].reshape(BOXES, 3)
+_FACTOR = _boxes[:, 0] | np.uint64(1)
+_TURN = np.maximum(_boxes[:, 1] & np.uint64(63), np.uint64(1))
+_ADD = _boxes[:, 2]
+_ROUND = _stream[3 * BOXES :]
+
+
+def _turn(x: np.ndarray, by) -> np.ndarray:
+    by = np.asarray(by, dtype=np.uint64)
+    return (x << by) | (x >> (np.uint64(64) - by))
+
+
+def _permuted(state: np.ndarray, key: np.ndarray) -> np.ndarray:
+    for r in range(ROUNDS):
+        chosen = (np.roll(state, -1, 0) >> np.uint64(5)) ^ (np.roll(state, -5, 0) >> np.uint64(33)) ^ _ROUND[(8 * r + np.arange(8)) % 128, None] ^ key
+        box = (chosen & np.uint64(BOXES - 1)).astype(np.int64)
+        state = _turn(state * _FACTOR[box], _TURN[box]) ^ _ADD[box]
+        spread = state ^ _turn(np.roll(state, 1, 0), 7) ^ _turn(np.roll(state, -2, 0), 31)
+        state = np.roll(spread, -3, 0) ^ _ROUND[(r + np.arange(8)) % 128, None]
+    return state
+
+
+def _words(blocks: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blocks), dtype="<u8").reshape(len(blocks), -1).T.astype(np.uint64)
+
+
+def _sponge(data: bytes, use: int) -> np.ndarray:
+    """Hash of one text: its bytes, a 1 and zeros up to a whole block."""
+    state = np.zeros((LANES, 1), dtype=np.uint64)
+    state[-1] = np.uint64(use)
+    text = data + b"\1" + b"\0" * (BLOCK - 1 - len(data) % BLOCK)
+    for at in range(0, len(text), BLOCK):
+        state[:RATE] ^= _words([text[at : at + BLOCK]])
+        state = _permuted(state, np.zeros((LANES, 1), dtype=np.uint64))
+    return state
+
+
+def _block(text: bytes, i: int) -> bytes:
+    return text[i * BLOCK : i * BLOCK + BLOCK].ljust(BLOCK, b"\0")
+
+
+def _run(key: bytes, nonces: list[bytes], anchors: list[bytes], bodies: list[bytes], work: int, opening: bool) -> tuple[list[bytes], list[bytes]]:
+    """(outputs, tags) of all messages; bodies are padded to whole blocks on the way."""
+    lanes = _sponge(key, KEY_USE)
+    state = _permuted(np.concatenate([_sponge(n, HASH_USE) for n in nonces], axis=1), lanes)
+    state = _permuted(state ^ np.concatenate([_sponge(a, HASH_USE) for a in anchors], axis=1), lanes)
+    counts = np.array([max(1, -(-len(b) // BLOCK)) for b in bodies])
+    out: list[list[bytes]] = [[] for _ in bodies]
+    for i in range(int(counts.max())):
+        live = np.flatnonzero(counts > i)
+        s, m = state[:, live], _words([_block(bodies[k], i) for k in live])
+        made = m ^ s[:RATE]
+        s[:RATE] ^= made if opening else m  # the plaintext goes back into the state
+        s[RATE] ^= np.uint64(i)
+        for _ in range(work):
+            s = _permuted(s, lanes)
+        state[:, live] = s
+        for k, block in zip(live, made.T.astype("<u8")):
+            out[k].append(block.tobytes())
+    last = state.copy()
+    last[-1] ^= np.uint64(TAG_USE)
+    tags = _permuted(last, lanes)[:2].T.astype("<u8")
+    return [b"".join(o) for o in out], [t.tobytes() for t in tags]
+
+
+def seal(key: bytes, nonces: list[bytes], texts: list[bytes], work: int = 2) -> list[bytes]:
+    if any(len(n) != 16 for n in nonces):
+        raise ValueError("a nonce has 16 bytes")
+    if not texts:
+        return []
+    bodies, tags = _run(key, nonces, [_block(t, 0) for t in texts], texts, work, opening=False)
+    return [struct.pack("<q", len(t)) + n + b + tag for t, n, b, tag in zip(texts, nonces, bodies, tags)]
+
+
+def open_sealed(key: bytes, packages: list[bytes], anchors: list[bytes], work: int = 2) -> list[bytes | None]:
+    """The plaintexts; None where key, anchor, or any byte of the package is wrong."""
+    if not packages:
+        return []
+    blocks = [_block(a, 0) for a in anchors]
+    texts, tags = _run(key, [p[8:24] for p in packages], blocks, [p[24:-16] for p in packages], work, opening=True)
+    good = [t[:BLOCK] == a and tag == p[-16:] for t, a, tag, p in zip(texts, blocks, tags, packages)]
+    return [t[: struct.unpack_from("<q", p)[0]] if g else None for t, p, g in zip(texts, packages, good)]

@@ -689,6 +689,11 @@ def aes_roundtrip(spark, d):
     return codecs.aes_roundtrip(table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("payload")))
 
 
+@query("duplex_roundtrip", "J7")
+def duplex_roundtrip(spark, d):
+    return codecs.duplex_roundtrip(table(ship(spark), d, "events").select(F.col("event_id").alias("doc_id"), F.encode("props", "UTF-8").alias("payload")))
+
+
 @query("split_mix", "I22")
 def split_mix(spark, d):
     return codecs.split_mix(ship(spark).range(1000), 42)

@@ -133,3 +133,21 @@ def test_encrypted_block_bounds(spark):
     assert bytes(row.select(codecs.decrypt_block(F.col("b"), key)).first()[0]) == b"hello"
     assert row.select(codecs.decrypt_block(F.col("b"), key, 3)).first()[0] is None
     assert row.select(codecs.decrypt_block(F.substring("b", 1, 25), key)).first()[0] is None
+
+
+def test_duplex():
+    from tessera.functions import duplex
+
+    key, nonce = b"correct horse battery staple", bytes(7 * i + 1 for i in range(16))
+    texts = [b"", b"x" * 31, b"y" * 32, "a longer text with umlauts äöü, over several blocks of the state".encode()]
+    made = duplex.seal(key, [nonce] * 4, texts)
+    anchors = [t[:32] for t in texts]
+    assert duplex.open_sealed(key, made, anchors) == texts
+    assert duplex.open_sealed(b"Correct horse battery staple", made, anchors) == [None] * 4
+    assert duplex.open_sealed(key, [made[3]], [b"A" + anchors[3][1:]]) == [None]
+    for at in (30, len(made[3]) - 17, len(made[3]) - 1):
+        broken = made[3][:at] + bytes([made[3][at] ^ 1]) + made[3][at + 1 :]
+        assert duplex.open_sealed(key, [broken], [anchors[3]]) == [None]
+    other = duplex.seal(key, [bytes([nonce[0] ^ 1]) + nonce[1:]], [texts[3]])[0]
+    changed = sum((a ^ b).bit_count() for a, b in zip(made[3][24:-16], other[24:-16])) / (8 * (len(other) - 40))
+    assert 0.4 < changed < 0.6
