@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,21 +15,27 @@ from pyspark.sql import functions as F
 from ..plans.ship import ship
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh folder for intermediate tables, under the cluster's spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) a temporary local folder is used.
-    """
+def _root(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only where it is absent (tests, a laptop) a temporary local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.environ.get("TESSERA_LOCAL_CHECKPOINT") or tempfile.mkdtemp(prefix="tessera-")
-        os.environ["TESSERA_LOCAL_CHECKPOINT"] = root
+        root = os.environ.get("TESSERA_LOCAL_CHECKPOINT")
+        if not root:
+            root = os.environ["TESSERA_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tessera/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A fresh folder for an intermediate table, where driver and executors see it."""
+    return f"{_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    shared_dir(spark, "probe")
+def clean(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; call it once the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fewer_files(df: DataFrame) -> DataFrame:
@@ -61,7 +69,6 @@ _IS_WORD[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz_", dtype=np.uint8)
 _IS_WORD[0x80:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STEP = 1 << 16
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -70,8 +77,6 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_BASE, _STEP + 1)
-_POW_INV = _powers(_BASE_INV, _STEP + 1)
 _BYTE_CODE = (np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
