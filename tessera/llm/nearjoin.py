@@ -194,15 +194,15 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
     searched = classes.where("id is not null and n_words > 0")
     rows = searched.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substr("labels", t * (2 * depth) + 1, F.lit(2 * depth)))).alias("tree", "prefix"))
     nodes = rows.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix", "first")
-    nodes = stored(nodes, "near-nodes")
+    nodes = stored(nodes, "near-nodes", narrow=True)
     edges = rows.join(nodes, ["tree", "prefix"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     parts = connected_components(edges, "near-candidates")
 
     members = parts.join(searched.select("id", "size", "copies"), "id")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    sizes = stored(sizes.select("component", blocks.cast("int").alias("blocks")), "near-sizes")
-    members = stored(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "near-members")
+    sizes = stored(sizes.select("component", blocks.cast("int").alias("blocks")), "near-sizes", narrow=True)
+    members = stored(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "near-members", narrow=True)
 
     bloom = bloom_row(members.select(F.col("id").alias("digest")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where(may_hold(bloom.scalar(), F.col("id")))
@@ -215,7 +215,7 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
     )
     links = found.groupBy("id").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "near-groups")
-    linked = stored(links.join(groups, "id"), "near-linked")
+    linked = stored(links.join(groups, "id"), "near-linked", narrow=True)
     known = classes.join(linked, "id", "left")
     known = known.select("key", "id", "copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("component", "id").alias("group_id"))
     totals = known.groupBy(F.col("group_id").alias("g")).agg(F.sum("copies").alias("group_size"))

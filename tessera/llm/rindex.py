@@ -317,8 +317,8 @@ def _split_marks(big: DataFrame) -> DataFrame:
     out = None
     for _ in range((LENGTH - CORE).bit_length() + 1):
         rows = stored(rows.mapInArrow(_halve_rows, schema), "rindex-split")
-        stats = stored(rows.groupBy("key", "cd").agg(F.count(F.lit(1)).alias("n")), "rindex-split")
-        groups = stored(stats.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "rindex-split")
+        stats = stored(rows.groupBy("key", "cd").agg(F.count(F.lit(1)).alias("n")), "rindex-split", narrow=True)
+        groups = stored(stats.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "rindex-split", narrow=True)
         whole = rows.join(stats.where("n > 1").select("key", "cd"), ["key", "cd"]).select(
             "h", F.col("root").alias("cd"), F.array(F.struct(F.col("shift").alias("first"), (F.col("shift") + F.col("amax") - F.col("amin")).alias("last"))).alias("ranges")
         )
@@ -343,7 +343,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
     long_ones = texts.where(F.octet_length("text") >= LENGTH)
     anchors = stored(long_ones.mapInArrow(_anchor_rows, "h long, d long, t long, lo int, hi int, p int"), "rindex-anchors")
-    repeated = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "rindex-repeated")
+    repeated = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "rindex-repeated", narrow=True)
     hits = anchors.join(repeated, "h").groupBy(F.col("d").alias("hd"), F.col("t").alias("ht")).agg(F.collect_set(F.struct("h", "lo", "hi", "p")).alias("hits"))
     hits = stored(hits, "rindex-hits")
     bloom = bloom_row(hits.select(F.col("hd").alias("digest"))).scalar()
@@ -353,7 +353,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     # one of a context's places stands for it; only contexts of anchors with several are cut out
     one = F.min(F.struct("d", "t", "lo")).alias("o")
     stats = stored(places.groupBy("h", "cd").agg(F.count(F.lit(1)).alias("n"), F.min("amin").alias("amin"), F.min("amax").alias("amax"), one), "rindex-stats")
-    groups = stored(stats.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "rindex-groups")
+    groups = stored(stats.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "rindex-groups", narrow=True)
     wanted = stats.join(groups, "h").groupBy(F.col("o.d").alias("hd"), F.col("o.t").alias("ht")).agg(F.collect_list(F.struct("h", "cd", "amin", "amax", "m", "o.lo")).alias("wanted"))
     wanted = stored(wanted, "rindex-wanted")
     bloom = bloom_row(wanted.select(F.col("hd").alias("digest"))).scalar()

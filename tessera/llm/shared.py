@@ -38,15 +38,20 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fewer_files(df: DataFrame) -> DataFrame:
-    """At most four partitions for each core of the cluster: many small ones are read in turn, without a shuffle."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+def fewer_files(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """At most two partitions for each core of the cluster (narrow rows: one for two cores): many small ones are
+    read in turn, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, cores // 2) if narrow else 2 * cores)
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    narrow: the rows are a few numbers each, so few files hold them.
+    """
     path = shared_dir(ship(df.sparkSession), tag)
-    fewer_files(df).write.parquet(path)
+    fewer_files(df, narrow).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -172,14 +177,15 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     pairs = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         f"{tag}-cc",
+        narrow=True,
     )
     for _ in range(max_rounds):
         # large-star: every neighbour larger than u is linked to u's smallest neighbour (or u itself)
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-cc")
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-cc")
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-cc", narrow=True)
+        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-cc", narrow=True)
         # small-star: smaller neighbours of u and u itself are linked to the smallest of them
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-cc")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-cc", narrow=True)
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -187,7 +193,7 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
             .where("u <> v")
             .distinct()
         )
-        after = stored(small, f"{tag}-cc")
+        after = stored(small, f"{tag}-cc", narrow=True)
         # done when every node has one parent and no parent has a parent: the set is a forest of stars
         fixed = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
         pairs = after
