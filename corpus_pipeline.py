@@ -26,20 +26,21 @@ from tessera.llm import decontam, langid, mixing, nearjoin, shared, tokens
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     said = langid.identify(docs, keep_text=True)
     kept = said.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= langid.LEAST_SCORE))
-    return kept.withColumn("lang", F.col("_lang_pred")).select(*docs.columns)
+    return shared.fewer_files(kept.withColumn("lang", F.col("_lang_pred")).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = shared.stored(nearjoin.near_links(docs).select("doc_id", "group_id"), "pipeline-links")
+    links = shared.stored(nearjoin.near_links(docs).select("doc_id", "group_id"), "pipeline-links", narrow=True)
     gone = links.where(F.col("doc_id") != F.col("group_id")).select("doc_id")
     # one row stays even where a row is repeated with its id
     again = links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return nearjoin.keep_one(docs, gone, again)
+    return shared.fewer_files(nearjoin.keep_one(docs, gone, again))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return nearjoin.drop_ids(docs, shared.stored(found.select("doc_id").where("doc_id is not null").distinct(), "pipeline-leaks"))
+    leaks = shared.stored(found.select("doc_id").where("doc_id is not null").distinct(), "pipeline-leaks", narrow=True)
+    return shared.fewer_files(nearjoin.drop_ids(docs, leaks))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
