@@ -26,7 +26,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -37,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .shared import batches, documents, shared_dir, text_of
+from .shared import batches, documents, shared_dir, span_hashes, text_of
 
 BLOCK = 32_768
 FRAME = 262_144
-GROUP = 400_000  # characters tokenised at once
+GROUP = 1_000_000  # characters tokenised at once
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 LEVEL = 3
@@ -100,18 +99,26 @@ def unpack(blocks) -> np.ndarray:
 
 # ------------------------------------------------------------------ tokenizer
 
-# Texts out of these characters are normalised by lower-casing and pre-tokenised by the pattern below
-# exactly as the tokenizer itself does it; any other text goes to the tokenizer whole.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
-_KEEP = 250_000
+# Texts out of these characters are normalised by lower-casing, and their pieces are runs of letters, single
+# digits and runs of other signs, exactly as the tokenizer itself does it; any other text, and one with an apostrophe
+# (which may begin a contraction), goes to the tokenizer whole.
+_PLAIN = re.compile("[\t\n\r\x20-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_SPACE, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
+_KIND = np.full(256, _SIGN, dtype=np.uint8)
+_KIND[[9, 10, 13, 32]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[97:123] = _LETTER
+_KIND[0xDF:] = _LETTER
+_KIND[0xF7] = _SIGN
+_SLOTS = 1 << 19
+_POOL = 4_000_000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, with a bounded cache of the pieces' ids.
+    """Ids of many texts at once, with a bounded table of the ids of pieces.
 
-    The cache has two generations: when the young one is full it becomes the old one, and pieces met
-    again move over, so frequent words stay and memory is bounded.
+    The table is direct-mapped by a 64-bit hash of the piece: a slot holds the piece met last, so memory is
+    bounded and frequent pieces come back soon after they are driven out.
     """
 
     def __init__(self, name: str):
@@ -122,44 +129,80 @@ class Encoder:
             import public_tokenizers
 
             name = public_tokenizers.path(name)
-        self.tok, self.young, self.old = Tokenizer.from_file(name), {}, {}
-        kind = str(self.tok.pre_tokenizer)
+        self.tok = Tokenizer.from_file(name)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a piece
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        kind = str(self.tok.pre_tokenizer)
         self.by_piece = "Removed" in kind and "ByteLevel" in kind and "Lowercase" in str(self.tok.normalizer)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
+        self.pool, self.used = np.zeros(_POOL + (1 << 20), dtype="<u4"), 0
 
-    def _pieces(self, new: list[str]):
-        """(piece, packed ids) of each piece; many go through the tokenizer as one text, cut after ids that end a piece."""
+    def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and the number of each; many go through the tokenizer as one text."""
+        ids, sizes = [], []
         for at in range(0, len(new), 1000):
             part = new[at : at + 1000]
             (e,) = self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw = ids.tobytes()
-                yield from zip(part, map(raw.__getitem__, map(slice, [0, *(4 * cuts[:-1]).tolist()], (4 * cuts).tolist())))
-            else:
-                yield from ((p, _packed(self.tok.encode(p, add_special_tokens=False).ids)) for p in part)
+            got = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(got):
+                each = [self.tok.encode(p, add_special_tokens=False).ids for p in part]
+                got, cuts = np.array([x for e in each for x in e], dtype="<u4"), np.cumsum([len(e) for e in each])
+            ids.append(got)
+            sizes.append(np.diff(cuts, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        parts = [t.lower().encode("latin-1") for t in texts]
+        data = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
+        kind = _KIND[data]
+        edge = np.ones(len(data), dtype=bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        cut = np.flatnonzero(edge)
+        word = kind[cut] != _SPACE
+        starts, ends = cut[word], np.append(cut[1:], len(data))[word]
+        bounds = np.cumsum([len(p) + 1 for p in parts])
+        first = np.searchsorted(starts, np.concatenate(([0], bounds)))
+        if not len(starts):
+            return [b""] * len(texts)
+        h = span_hashes(data, starts, ends) | np.uint64(1)  # 0 marks an empty slot
+        slot = (h >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
+        missing = np.flatnonzero(self.keys[slot] != h)
+        at, size = self.at[slot], self.size[slot]
+        if len(missing):
+            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            spans = zip(starts[missing[where]].tolist(), ends[missing[where]].tolist())
+            ids, sizes = self._pieces([raw[a:b].decode("latin-1") for a, b in spans])
+            if self.used + len(ids) > len(self.pool):  # one group's pieces need more room than the pool has left
+                self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(1 << 20, dtype="<u4")])
+            self.pool[self.used : self.used + len(ids)] = ids
+            places = self.used + np.cumsum(sizes) - sizes
+            self.used += len(ids)
+            at[missing], size[missing] = places[back], sizes[back]
+            slots = (new >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
+            self.keys[slots], self.at[slots], self.size[slots] = new, places, sizes
+        # ids of all pieces: each piece's place, counted up over its length
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        raw, ends_ = flat.tobytes(), total[first].tolist()
+        if self.used > _POOL:
+            self._clear()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends_[:-1], ends_[1:])]
 
     def many(self, texts: list[str]) -> list[bytes]:
-        pieces = [_PIECE.findall(t.lower()) if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        needed = set().union(*(p for p in pieces if p))
-        if len(self.young) > _KEEP:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = needed.difference(young)
-        if old:
-            again = new.intersection(old)
-            young.update((p, old[p]) for p in again)
-            new -= again
-        young.update(self._pieces(list(new)))
-        whole = lambda t: _packed(self.tok.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if p is None else b"".join(map(young.__getitem__, p)) for t, p in zip(texts, pieces)]
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+        plain = [i for i, t in enumerate(texts) if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, raw in zip(plain, self._plain([texts[i] for i in plain]) if plain else ()):
+            out[i] = raw
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
