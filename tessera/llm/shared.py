@@ -38,11 +38,21 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FILE_BYTES, NARROW_BYTES = 16 << 20, 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, by the optimizer's statistics; unknown sources count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
+
+
 def fewer_files(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """At most two partitions for each core of the cluster (narrow rows: one for two cores): many small ones are
-    read in turn, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, cores // 2) if narrow else 2 * cores)
+    """Many small partitions are read in turn, without a shuffle: two for each core of the cluster, or more where that
+    makes over 16 MB of input each (narrow rows: one for two cores, or 128 MB)."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
+    return df.coalesce(max(1, cores // 2, size // NARROW_BYTES) if narrow else max(2 * cores, size // FILE_BYTES))
 
 
 def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
