@@ -9,17 +9,18 @@ BUCKETS = 64
 SAMPLES = 50
 
 
-def global_row_number(df: DataFrame, keys: list[str], name: str = "row_number") -> DataFrame:
+def global_row_number(df: DataFrame, keys: list[str], name: str = "row_number", buckets: int = BUCKETS) -> DataFrame:
     """Adds 1..N in the order of keys.
 
-    Bounds come from a sample of about BUCKETS * SAMPLES keys chosen by hash; rows are numbered within buckets
-    and shifted by the buckets' counts, of which there are at most BUCKETS.
+    Bounds come from a sample of about buckets * SAMPLES keys chosen by hash; rows are numbered within buckets
+    and shifted by the buckets' counts, of which there are at most `buckets`.  Give more buckets to larger tables:
+    each is sorted by one task.
     """
     n = df.count()
     order = F.struct(*keys)
-    share = max(1, n // (BUCKETS * SAMPLES))
+    share = max(1, n // (buckets * SAMPLES))
     picked = df.select(order.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0).orderBy("k").collect() if n > SAMPLES else []
-    bounds = [picked[len(picked) * i // BUCKETS]["k"] for i in range(1, BUCKETS)] if len(picked) > BUCKETS else []
+    bounds = [picked[len(picked) * i // buckets]["k"] for i in range(1, buckets)] if len(picked) > buckets else []
     kinds = dict(df.dtypes)
     bucket = F.lit(0)
     for b in bounds:

@@ -43,8 +43,8 @@ def rolling_mean(samples: DataFrame, owner: str, order: list[str], value: str, r
 
 def last_day_bands(per_minute: DataFrame) -> DataFrame:
     """Per-minute counts of the last 24 hours with the number of thresholds they reach."""
-    last = per_minute.agg(F.max("start").alias("_last"))
-    recent = per_minute.join(F.broadcast(last), F.col("start") > F.col("_last") - F.expr("interval 1 day"))  # one row
+    last = per_minute.agg(F.max("start")).scalar()
+    recent = per_minute.where(F.col("start") > last - F.expr("interval 1 day"))
     return recent.select("start", "pulses", numbers.band(F.col("pulses"), PULSE_BANDS).alias("band"))
 
 
@@ -94,9 +94,7 @@ def trimmed_mean(samples: DataFrame, group: str, value: str) -> DataFrame:
 
 def relative_index(times: DataFrame, time: str) -> DataFrame:
     """100 * t / smallest positive t, rounded, and its class; null without a positive time."""
-    low = times.agg(F.min(F.when(F.col(time) > 0, F.col(time))).alias("_low"))
-    rows = times.join(F.broadcast(low))  # one row
-    index = F.floor(F.col(time) * 100 / F.col("_low") + 0.5).cast("long")
-    rows = rows.withColumn("rel_index", index).drop("_low")
+    low = times.agg(F.min(F.when(F.col(time) > 0, F.col(time)))).scalar()
+    rows = times.withColumn("rel_index", F.floor(F.col(time) * 100 / low + 0.5).cast("long"))
     i = F.col("rel_index")
     return rows.withColumn("class", F.when(i > 5000, "no").when(i > 500, "buggy").when(i > 200, "incomplete").when(i > 100, "almost").when(i.isNotNull(), "yes"))

@@ -588,7 +588,7 @@ def process_list(spark, d):
 @query("csv_watts", "A12 I21", "SELECT event_id, CAST(trunc(round(value, 2)) AS INTEGER) AS watts FROM events")
 def csv_watts(spark, d):
     rows = table(spark, d, "events").select("event_id", F.concat(F.lit(" "), F.round("value", 2).cast("string"), F.lit(" W")).alias("value"))
-    return rows.select("event_id", F.expr("cast(try_cast(split(trim(value), ' ')[0] as double) as int)").alias("watts"))
+    return files.csv_watts(rows).select("event_id", "watts")
 
 
 @query("meter_power", "A10", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS total_act_power FROM events")

@@ -49,9 +49,8 @@ def matching_processes(processes: DataFrame, part: str, own: str) -> DataFrame:
 
 
 def csv_watts(lines_: DataFrame) -> DataFrame:
-    """`<number> W` lines to whole watts (truncated); null where there is no number."""
-    first = F.split(F.trim("value"), " ")[0]
-    return lines_.select("value", F.try_to_number(first, F.lit("999999999D999999")).cast("double").alias("_n")).select("value", F.expr("cast(try_cast(split(trim(value), ' ')[0] as double) as int)").alias("watts"))
+    """Adds the whole watts (truncated) of `<number> W` lines; null where there is no number."""
+    return lines_.withColumn("watts", F.split(F.trim("value"), " ")[0].try_cast("double").cast("int"))
 
 
 def meter_power(json: DataFrame, column: str = "json") -> DataFrame:
