@@ -136,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id, item_id, n_places (diagonals), and first word, words and matching words of the best place."""
     spark = ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = spark.createDataFrame([], SCHEMA)
+    out = spark.createDataFrame(pa.table({x.split()[0]: pa.array([], pa.int64()) for x in SCHEMA.split(", ")}))
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(SeedTable(items))
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +108,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     by_source: dict[str, list] = {}
     for s, *rest in rows:
         by_source.setdefault(s, []).append(tuple(rest))
-    phases = spark.createDataFrame(
-        list(by_source.items()), "_mix_s string, _mix_plan array<struct<phase:long,first:long,end:long,at:long,period:long,slots:array<int>>>"
-    )
+    names = ["phase", "first", "end", "at", "period", "slots"]
+    kind = pa.list_(pa.struct([(n, pa.list_(pa.int32()) if n == "slots" else pa.int64()) for n in names]))
+    plans = [[dict(zip(names, p)) for p in ps] for ps in by_source.values()]
+    phases = spark.createDataFrame(pa.table({"_mix_s": pa.array(list(by_source), pa.string()), "_mix_plan": pa.array(plans, kind)}))
 
     digits = min(MAX_BIN_DIGITS, max(1, math.ceil(math.log(max(1, max(counts.values(), default=1) / BIN_ROWS), 16))))
     keyed = docs.withColumn("_mix_s", _source()).withColumn("_mix_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

@@ -49,10 +49,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def fewer_files(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Many small partitions are read in turn, without a shuffle: two for each core of the cluster, or more where that
-    makes over 16 MB of input each (narrow rows: one for two cores, or 128 MB)."""
+    """Many small partitions are read in turn, without a shuffle: one for each core of the cluster, or more where that
+    makes over 16 MB of input each (narrow rows: one for each 128 MB)."""
     cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
-    return df.coalesce(max(1, cores // 2, size // NARROW_BYTES) if narrow else max(2 * cores, size // FILE_BYTES))
+    return df.coalesce(max(1, size // NARROW_BYTES) if narrow else max(cores, size // FILE_BYTES))
 
 
 def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:

@@ -256,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
     frames = read_frames(spark, path)
     sums = frames.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     before = dict(zip((r["shard"] for r in sums), itertools.accumulate((r["n"] for r in sums), initial=0)))
-    starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "shard int, shard_start long")
+    starts = spark.createDataFrame(pa.table({"shard": pa.array(list(before), pa.int32()), "shard_start": pa.array(list(before.values()), pa.int64())}))
     within = Window.partitionBy("shard").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
     index = frames.select(
         "shard",
