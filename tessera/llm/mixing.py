@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, file_number
 
 BLOCK = 32
 DENOMINATOR = 1000
@@ -144,9 +144,8 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
 
 
 def mix_in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """The columns of docs, rows laid down in the order of the mix (written files keep it)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mix(docs, weights, block).repartitionByRange(n, "_mix_position").sortWithinPartitions("_mix_position").select(*docs.columns)
+    """The columns of docs, rows laid down in the order of the mix, a range of it for each file that is to be written."""
+    return mix(docs, weights, block).repartitionByRange(file_number(docs), "_mix_position").sortWithinPartitions("_mix_position").select(*docs.columns)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

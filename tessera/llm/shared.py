@@ -48,11 +48,27 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 60)
 
 
-def fewer_files(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Many small partitions are read in turn, without a shuffle: one for each core of the cluster, or more where that
-    makes over 16 MB of input each (narrow rows: one for each 128 MB)."""
+def file_number(df: DataFrame, narrow: bool = False) -> int:
+    """One file for each core of the cluster, or more where that makes over 16 MB of input each (narrow rows: one for each 128 MB)."""
     cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
-    return df.coalesce(max(1, size // NARROW_BYTES) if narrow else max(cores, size // FILE_BYTES))
+    return max(1, size // NARROW_BYTES) if narrow else max(cores, size // FILE_BYTES)
+
+
+def laid_in_order(df: DataFrame) -> bool:
+    """Whether df's partitions are ranges of an order, as repartitionByRange makes them."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Sort"):
+        node = node.children().head()
+    if node.nodeName() != "RepartitionByExpression":
+        return False
+    by = node.partitionExpressions()
+    return by.size() > 0 and all(by.apply(i).nodeName() == "SortOrder" for i in range(by.size()))
+
+
+def fewer_files(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Many small partitions are read in turn, without a shuffle, down to file_number.  Rows laid in order stay as they
+    are: coalesce joins partitions by where they lie, not by their numbers, and would mix the ranges."""
+    return df if laid_in_order(df) else df.coalesce(file_number(df, narrow))
 
 
 def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:

@@ -80,6 +80,23 @@ def test_mix_keeps_rows(docs, empty):
         mixing.mix(docs, {"a": 1})
 
 
+def test_mix_order_is_stored(spark, tmp_path):
+    from tessera.llm import shared
+
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "if(id % 5 = 0, 'a', 'b') AS source")
+    rows.repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        for frame in (mixing.mix_in_order(docs), mixing.mix(docs).repartitionByRange(60, "_mix_position").sortWithinPartitions("_mix_position").select("doc_id")):
+            laid = shared.stored(frame, "test-mix")
+            order = laid.select("doc_id", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("f"), "_metadata.row_index").orderBy("f", "row_index")
+            assert [r.doc_id for r in order.collect()] == [r.doc_id for r in mixing.mix(docs).orderBy("_mix_position").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # ------------------------------------------------------------------ 2
 
 
