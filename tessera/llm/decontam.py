@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks over `SPAN` consecutive words ignore some positions, so a changed word falls into a gap of at
-least one mask.  Words at the kept positions are hashed; hashes of the benchmark and of the documents
+Fixed masks over some consecutive words ignore some positions, so changed words fall into the gaps of at
+least one mask.  There is a set of masks for each length of item (`MASKS`), found by search, that hits every way to change as many
+words as the rule below lets pass: none that it accepts is lost (tests/llm enumerates them).
+Words at the kept positions are hashed; hashes of the benchmark and of the documents
 are joined; and around each hit the two texts are laid side by side (same distance between word
 positions) and compared word by word: an overlap counts when some window of min(`WINDOW`, length of the item) words
 agrees in `AGREE` of them.
@@ -12,7 +14,7 @@ is done in blocks, one pass each).  Every document is independent, so hot passag
 verification.
 
 Defined cases: null and empty texts hold nothing; items of fewer than `LEAST_WORDS` words are not
-searched for (they are ordinary phrases); items shorter than SPAN are found by all their words; repeated rows
+searched for (they are ordinary phrases); repeated rows
 and repeated items each count; empty tables give an empty result; further columns are ignored.
 """
 
@@ -28,9 +30,14 @@ from pyspark.sql import functions as F
 from ..plans.ship import ship
 from .shared import batches, documents, mix64, text_of, words_of
 
-# The masks.  Each keeps 7 of 11 positions.
-MASKS = ["11101010111", "11011001111", "11110111001", "10111110011"]
-SPAN = 11
+# The masks for items of so many words or more.  From 5 words on one may differ, from 10 two, from 15 three,
+# and four in the windows of 20; what hits each set of changes in a shorter window does so in a longer one.
+MASKS = {
+    5: ["1111", "10111", "11011", "11101"],
+    10: ["1101111", "11110011", "110011011", "110101011", "10111101"],
+    15: ["11101011", "11100100011", "1101000111"],
+    20: ["1101111", "1100010111", "1000110100011"],
+}
 WINDOW = 20
 AGREE = 0.8
 LEAST_WORDS = 5
@@ -61,13 +68,13 @@ class SeedTable:
         lengths = np.diff(first)
         owner = np.repeat(np.arange(len(items)), lengths)
         room = np.concatenate([np.arange(n, 0, -1) for n in lengths]) if len(items) else np.zeros(0, int)  # words left in the item
-        masks = MASKS + ["1" * n for n in sorted({int(n) for n in lengths if LEAST_WORDS <= n < SPAN})]
+        longest = np.array(sorted(MASKS))
+        group = np.where(lengths < LEAST_WORDS, 0, longest[np.maximum(np.searchsorted(longest, lengths, "right") - 1, 0)])
         self.tables = []
-        for mask in masks:
+        for mask in sorted({m for g in set(group.tolist()) - {0} for m in MASKS[g]}):
             h = masked_hashes(self.words, mask)
             at = np.flatnonzero(room[: len(h)] >= len(mask))
-            if len(mask) < SPAN or "0" not in mask:
-                at = at[lengths[owner[at]] == len(mask)]
+            at = at[np.isin(group[owner[at]], [g for g in MASKS if mask in MASKS[g]])]
             order = np.argsort(h[at], kind="stable")
             keys, places = h[at][order], at[order]
             bits = np.zeros(self.BITS, dtype=bool)

@@ -1,7 +1,9 @@
 """Every operator on a small awkward table: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import itertools
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -157,6 +159,19 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(docs, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", range(5, 22))
+def test_seeds_hit_all_that_the_rule_accepts(size):
+    item = [f"k{i}" for i in range(size)]
+    table = decontam.SeedTable([(1, " ".join(item))])
+    window = min(20, size)
+    for begin in {0, size - window}:
+        for changed in itertools.combinations(range(begin, begin + window), window - math.ceil(0.8 * window)):
+            text = " ".join("z" if i in changed or not begin <= i < begin + window else w for i, w in enumerate(item))
+            words, first, _, _ = decontam.words_of([text])
+            assert (0, 0, 0) in table.search(words, first), (begin, changed)
+            assert table.overlap(words, 0, 0)
+
+
 # ------------------------------------------------------------------ 5 and 10: base spans against Python's own matching
 
 
