@@ -3,16 +3,17 @@
 *Base spans* are the leftmost non-overlapping matches of four fixed patterns with their checks.
 
 *Disclosing terms* (kind `term`; after Sanchez and Batet's C-sanitisation): a base match's value is a
-protected entity e.  Corpus co-occurrence within `REACH` words tells how strongly a term t reveals it:
+protected entity e.  Corpus co-occurrence in documents tells how strongly a term t (outside base spans) reveals it:
 with p from document frequencies, PMI(t; e) = log2 p(t, e) / (p(t) p(e)); e's own information is
 IC(e) = -log2 p(e).  Where PMI >= ALPHA * IC(e), with at least `SUPPORT` documents for the pair, t gives e
-away, and its occurrences within REACH words of e are reported.  `sanitise` replaces base spans by their
+away, and all its occurrences in the documents that hold e are reported.  `sanitise` replaces base spans by their
 kind and disclosing terms by a generalisation (`[term]`) or removes them.
 
-Scale: one pass finds base spans and the terms near them and writes these (narrow) rows to the shared
-folder; pairs are counted with map-side aggregation, so a very frequent entity shrinks to a row per task.  A
-second pass over the texts counts documents per term, only for terms seen with an entity often enough.
-The disclosing pairs are joined to the entities' occurrences, never to all documents; no text is shuffled.
+Scale: one pass finds base spans and entities and writes these (narrow) rows to the shared
+folder.  A pass over the texts counts documents per pair, only for entities that occur often enough, added up in
+each task before the shuffle; another counts documents per term, only for terms seen with an entity often enough;
+the last one finds the places of the disclosing pairs.  Bitmaps of fixed size tell documents and
+words that matter, and exact joins follow; no text is shuffled.
 
 Defined cases: null and empty texts have no spans; one result row per row of the table; repeated rows
 count as documents of their own; an empty table gives an empty result; further columns are ignored.
@@ -36,7 +37,6 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone", "term"]
 
-REACH = 8
 ALPHA = 0.9
 SUPPORT = 3
 
@@ -105,67 +105,63 @@ def keys_of(terms: list[str]) -> list[int]:
     return span_hashes(np.frombuffer(b"".join(data), dtype=np.uint8), starts, ends).view(np.int64).tolist() if terms else []
 
 
-def _near(text: str, spans) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each base span: the entity and the terms within REACH words that lie outside all base spans."""
-    out = []
-    covered = [(a, b) for a, _, b in spans]
-    for a, _, b in spans:
-        entity = text[a:b].lower()
-        # words before: a window grown until it holds REACH words or reaches the start
-        size = 160
-        while True:
-            left = [m.span() for m in _TERM.finditer(text, max(0, a - size), a)]
-            if len(left) > REACH or a - size <= 0:
-                break
-            size *= 4
-            if size > 20_000:
-                break
-        right, at = [], b
-        for m in _TERM.finditer(text, b):
-            right.append(m.span())
-            if len(right) == REACH:
-                break
-        terms = []
-        for x, y in left[-REACH:] + right:
-            if not any(x < d and c < y for c, d in covered) and not text[x:y].isdigit():
-                terms.append((text[x:y].lower(), x, y))
-        out.append((entity, terms))
+def _terms(text: str, covered: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The terms of a text that lie outside the covered spans (ordered by start), in order."""
+    out, reach, at = [], 0, 0  # reach: the furthest end of the spans that begin before the term's end
+    for m in _TERM.finditer(text):
+        x, y = m.span()
+        while at < len(covered) and covered[at][0] < y:
+            reach = max(reach, covered[at][1])
+            at += 1
+        if x >= reach and not m.group().isdigit():
+            out.append((m.group().lower(), x, y))
     return out
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-NEAR = "array<struct<entity:long,term:long,start:int,end:int,fresh:boolean,first:boolean>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_NEARS = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("fresh", pa.bool_()), ("first", pa.bool_())]))
+
+
+def _entities(text: str, spans) -> list[int]:
+    """Hashes of the distinct protected values of a text."""
+    return keys_of(sorted({text[a:b].lower() for a, _, b in spans}))
 
 
 def _scan(batches_):
-    """Base spans of each text and the terms near them; `fresh` marks a document's first sight of a pair,
-    `first` that of a term, and an entity itself comes with a null term."""
+    """Base spans and entities of each text."""
     for batch in batches_:
-        base, near = [], []
+        base, entities = [], []
         for text in batch.column("text").to_pylist():
             spans = find_base(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            rows, seen, terms_seen = [], set(), set()
-            for entity, terms in _near(text, spans) if spans else ():
-                e, *keys = keys_of([entity, *(t for t, _, _ in terms)])
-                for t, a, b in [(None, 0, 0), *((k, a, b) for k, (_, a, b) in zip(keys, terms))]:
-                    rows.append({"entity": e, "term": t, "start": a, "end": b, "fresh": (e, t) not in seen, "first": t is not None and t not in terms_seen})
-                    seen.add((e, t))
-                    terms_seen.add(t)
-            near.append(rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, _SPANS), pa.array(near, _NEARS)], names=["doc_id", "key", "base", "near"])
+            entities.append(_entities(text, spans))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, _SPANS), pa.array(entities, pa.list_(pa.int64()))], names=["doc_id", "key", "base", "entities"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("key", F.xxhash64("text"))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("key", F.xxhash64("text"))
-    return texts.mapInArrow(_scan, f"doc_id long, key long, base {SPAN}, near {NEAR}")
+    return _keyed(docs).mapInArrow(_scan, f"doc_id long, key long, base {SPAN}, entities array<long>")
 
 
 _BITS = 1 << 22
 
 
+def _bitmap(spark: SparkSession, hashes: DataFrame):
+    """A broadcast bitmap of the one column of hashes: 512 KiB whatever their number."""
+    at = np.array([r[0] for r in hashes.select(F.pmod(hashes[0], F.lit(_BITS)).cast("int").alias("b")).distinct().collect()], dtype=np.int64)
+    bits = np.zeros(_BITS, dtype=bool)
+    bits[at] = True
+    return spark.sparkContext.broadcast(np.packbits(bits))
+
+
+def _in(packed: np.ndarray, h: int) -> bool:
+    at = h % _BITS
+    return bool(packed[at >> 3] >> (7 - (at & 7)) & 1)
+
+
 def _totals(totals: dict[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["term", "n"])
 
@@ -176,11 +172,7 @@ def term_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     A bitmap of the wanted hashes (512 KiB whatever their number) drops other words on the spot; what
     passes is counted per task, then by key, and joined with the wanted terms.
     """
-    spark = texts.sparkSession
-    at = np.array([r[0] for r in wanted.select(F.pmod("term", F.lit(_BITS)).cast("int").alias("b")).distinct().collect()], dtype=np.int64)
-    bits = np.zeros(_BITS, dtype=bool)
-    bits[at] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    shared = _bitmap(texts.sparkSession, wanted)
 
     def count(batches_):
         known, totals = np.unpackbits(shared.value).view(bool), {}
@@ -204,36 +196,107 @@ def term_frequencies(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return counts.join(wanted, "term")
 
 
+def _holders(text: str, packed: np.ndarray) -> tuple[list[int], list[tuple[str, int, int]]]:
+    """The entities of a text that the bitmap may hold, and the text's terms if there is any."""
+    spans = find_base(text)
+    entities = [e for e in _entities(text, spans) if _in(packed, e)] if spans else []
+    return entities, _terms(text, [(a, b) for a, _, b in spans]) if entities else []
+
+
+def document_pairs(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, term, n): n documents hold the entity and, anywhere, the term; added up by key afterwards.
+
+    A null entity stands for any: n documents with some entity hold the term.
+    """
+    shared = _bitmap(docs.sparkSession, entities)
+
+    def count(batches_):
+        packed, totals = shared.value, {}
+
+        def told(keys):
+            names = ["entity", "term", "n"]
+            return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64()), pa.array(list(keys.values()), pa.int64())], names=names)
+
+        for batch in batches_:
+            for text in batch.column("text").to_pylist():
+                held, terms = _holders(text, packed)
+                keys = keys_of(sorted({t for t, _, _ in terms}))
+                for e in [None, *held] if held else ():
+                    for t in keys:
+                        totals[e, t] = totals.get((e, t), 0) + 1
+                    if len(totals) > 200_000:
+                        yield told(totals)
+                        totals = {}
+        if totals:
+            yield told(totals)
+
+    return _keyed(docs).mapInArrow(count, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("docs"))
+
+
 def disclosing_terms(seen: DataFrame, docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(entity, term) hashes where the term's PMI with the entity reaches alpha times the entity's information."""
-    near = seen.select(F.explode("near").alias("p")).select("p.*")
-    pairs = stored(near.where("fresh").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= support), "pii-pairs")
+    none = docs.sparkSession.range(0).select(F.col("id").alias("entity"), F.col("id").alias("term"))
+    own = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("e_docs"))
+    # a pair has no more documents than its entity
+    own = stored(own.where(F.col("e_docs") >= support), "pii-entities")
+    if own.isEmpty():
+        return none
+    pairs = stored(document_pairs(docs, own.select("entity")).where(F.col("docs") >= support), "pii-pairs")
     n = seen.count()
-    own = pairs.where("term is null").select("entity", F.col("docs").alias("e_docs"))
-    # documents that hold a term near some entity are a lower bound of those that hold it, so a pair
+    # documents that hold a term and some entity are a lower bound of those that hold it, so a pair
     # that falls short with that bound falls short with the count
-    least = near.where("first").groupBy("term").agg(F.count(F.lit(1)).alias("least"))
-    joined = pairs.where("term is not null").join(own, "entity").join(least, "term")
+    least = pairs.where("entity is null").select("term", F.col("docs").alias("least"))
+    joined = pairs.join(own, "entity").join(least, "term")
     ic = F.log2(F.lit(float(n)) / F.col("e_docs"))
     pmi = lambda t_docs: F.log2(F.col("docs") * F.lit(float(n)) / (F.col(t_docs) * F.col("e_docs")))
     joined = stored(joined.where((ic > 0) & (pmi("least") >= alpha * ic)), "pii-candidates")
     wanted = joined.select("term").distinct()
     if wanted.isEmpty():
-        return joined.select("entity", "term")
+        return none
     df = term_frequencies(docs.select(text_of().alias("text")), wanted)
     return joined.join(df, "term").where(pmi("t_docs") >= alpha * ic).select("entity", "term")
 
 
+def occurrences(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end) of every occurrence of a disclosing term in a document that holds its entity.
+
+    Bitmaps of the rules' entities and terms drop other documents and words on the spot; what passes is
+    joined with the rules, a row for each pair of a document first and then the places.
+    """
+    spark = docs.sparkSession
+    entities, terms_ = _bitmap(spark, rules.select("entity")), _bitmap(spark, rules.select("term"))
+    places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def find(batches_):
+        for batch in batches_:
+            rows = []
+            for i, k, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
+                held, terms = _holders(text, entities.value)
+                at: dict = {}
+                for h, (_, a, b) in zip(keys_of([t for t, _, _ in terms]), terms):
+                    if _in(terms_.value, h):
+                        at.setdefault(h, []).append({"start": a, "end": b})
+                rows += [(i, k, held, t, p) for t, p in at.items()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), places]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "key", "entities", "term", "places"])
+
+    found = _keyed(docs).mapInArrow(find, "doc_id long, key long, entities array<long>, term long, places array<struct<start:int,end:int>>")
+    found = found.select("doc_id", "key", F.explode("entities").alias("entity"), "term", "places").join(rules, ["entity", "term"])
+    return found.select("doc_id", "key", F.explode("places").alias("p")).select("doc_id", "key", "p.*")
+
+
 def scan_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, key (a hash of the text), base and added (arrays of spans in code points) for each row."""
     seen = stored(scanned(docs), "pii-scan")
     rules = stored(disclosing_terms(seen, docs, alpha, support), "pii-rules")
-    near = seen.where(F.size("near") > 0).select("doc_id", "key", F.explode("near").alias("p")).select("doc_id", "key", "p.*").where("term is not null")
+    none = F.array().cast(SPAN)
+    if rules.isEmpty():
+        return seen.select("doc_id", "key", "base", none.alias("added"))
     span = F.struct("start", F.lit(4).alias("kind"), "end")
-    told = near.join(rules, ["entity", "term"]).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("added"))
+    told = occurrences(docs, rules).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("added"))
     told = told.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "added")
     found = seen.select("doc_id", "key", "base").join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return found.select("doc_id", "key", "base", F.coalesce("added", F.array().cast(SPAN)).alias("added"))
+    return found.select("doc_id", "key", "base", F.coalesce("added", none).alias("added"))
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, generalise: bool = True) -> DataFrame:

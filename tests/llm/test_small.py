@@ -246,6 +246,20 @@ def test_disclosing_terms(spark):
     assert "jane" not in clean[0] and "[email]" in clean[0] and "zebrafish" not in clean[0] and clean[100] == other[0][1]
 
 
+def test_disclosing_terms_far_away(spark):
+    filler = "common words and nothing else " * 10
+    rows = [(i, f"okapi {filler} jane@corp.example {filler} Okapi twice {'okapi' if i % 2 else ''} ({i}a)") for i in range(4)]
+    rows += [(4, "common okapi without a name"), (5, "jane@corp.example alone"), (6, "jane@corp.example and okapi"), (6, "jane@corp.example and okapi"), (7, None)]
+    rows += [(100 + i, "common words and nothing else twice") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for r in pii.scan_personal(df).collect():
+        want = [m.span() for m in re.finditer("okapi", text[r.doc_id] or "", re.I)] if "jane" in (text[r.doc_id] or "") else []
+        assert [(s.start, s.end) for s in r.added] == want, r.doc_id
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any("okapi" in clean[i].lower() for i in (0, 1, 2, 3, 6)) and clean[4] == text[4] and clean[7] is None
+
+
 # ------------------------------------------------------------------ 6
 
 
