@@ -3,7 +3,7 @@
 *Base spans* are the leftmost non-overlapping matches of four fixed patterns with their checks.
 
 *Disclosing terms* (kind `term`; after Sanchez and Batet's C-sanitisation): a base match's value is a
-protected entity e.  Corpus co-occurrence in documents tells how strongly a term t (outside base spans) reveals it:
+protected entity e.  Corpus co-occurrence in documents tells how strongly a term t (a word or number outside base spans) reveals it:
 with p from document frequencies, PMI(t; e) = log2 p(t, e) / (p(t) p(e)); e's own information is
 IC(e) = -log2 p(e).  Where PMI >= ALPHA * IC(e), with at least `SUPPORT` documents for the pair, t gives e
 away, and all its occurrences in the documents that hold e are reported.  `sanitise` replaces base spans by their
@@ -113,7 +113,7 @@ def _terms(text: str, covered: list[tuple[int, int]]) -> list[tuple[str, int, in
         while at < len(covered) and covered[at][0] < y:
             reach = max(reach, covered[at][1])
             at += 1
-        if x >= reach and not m.group().isdigit():
+        if x >= reach:
             out.append((m.group().lower(), x, y))
     return out
 

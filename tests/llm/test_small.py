@@ -260,6 +260,19 @@ def test_disclosing_terms_far_away(spark):
     assert not any("okapi" in clean[i].lower() for i in (0, 1, 2, 3, 6)) and clean[4] == text[4] and clean[7] is None
 
 
+def test_disclosing_numbers_and_long_words(spark):
+    long_word = "é" * 30_000
+    rows = [(i, f"number 4711 {'x' if i else long_word} of jane@corp.example and 12") for i in range(4)]
+    rows += [(10 + i, f"{long_word} bob@corp.example") for i in range(3)]
+    rows += [(100 + i, "number of and x 12") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.scan_personal(df).collect()}
+    assert added[1] == added[2] == added[3] == [(7, 11)]
+    # the long word is one term, whole
+    assert added[0] == [(7, 11)] and added[10] == added[11] == added[12]
+    assert all(s == (0, 30_000) for i in (10, 11, 12) for s in added[i])
+
+
 # ------------------------------------------------------------------ 6
 
 
