@@ -4,9 +4,10 @@
 positions, but `split` by a pattern and `regexp_extract_all` of it give the texts between and of the
 matches, whose lengths add up to them.
 
-*Markov spans* (kind `markov`): runs of key characters of `MIN_RUN` or more, with letters and digits, that overlap no base
+*Markov spans* (kind `markov`): runs of key characters of `MIN_RUN` or more, of whatever characters, that overlap no base
 span are scored with two first-order character models, one of random strings and one of ordinary identifiers.
-A run is reported where the mean log-likelihood ratio (bits per transition) reaches `THRESHOLD`.
+A run is reported, whole, where the mean log-likelihood ratio (bits per transition) of some stretch of at least `MIN_RUN`
+characters reaches `THRESHOLD`, so ordinary text around a secret hides nothing.  Transitions from and to `JOINTS` count 0 bits.
 The models are trained from labelled samples: random strings drawn from digests (base64, base-16 and
 mixed case, `SAMPLE` of each), and identifiers made of the words (alone, and pairs in camel, snake and upper case) of about `SAMPLE` documents without base
 spans: those whose hash of doc_id falls into a share of its range.  Only transition counts, at most alphabet^2 per model, reach the
@@ -35,6 +36,7 @@ HEX = r"[0-9a-f]+"  # the runs of 24 or more of it
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+JOINTS = "+/_=-"
 MIN_RUN = 16
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 SAMPLE = 4_000
@@ -96,7 +98,7 @@ def labelled_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
-    """log2 P(b|a, random) - log2 P(b|a, identifier) at [a * n + b]; letters outside the alphabet share one place."""
+    """log2 P(b|a, random) - log2 P(b|a, identifier) at [a * n + b]; letters outside the alphabet share one place; 0 at JOINTS."""
     n = len(ALPHABET) + 1
     code = lambda c: F.instr(F.lit(ALPHABET), c) if isinstance(c, str) else F.call_function("instr", F.lit(ALPHABET), c)
     codes = samples.select("label", F.transform(F.split("word", ""), code).alias("c"))
@@ -112,22 +114,39 @@ def ratio_table(samples: DataFrame) -> list[float]:
             row = [counts.get((label, a * n + b), 0) for b in range(n)]
             rows += [math.log2((c + SMOOTHING * own[b] / all_own) / (sum(row) + SMOOTHING)) for b, c in enumerate(row)]
         logs.append(rows)
-    return [r - i for i, r in zip(*logs)]
+    # neither sample shows how words are joined in paths and names, so joints are no evidence for either
+    joints = {ALPHABET.index(c) + 1 for c in JOINTS}
+    return [0.0 if {k // n, k % n} & joints else r - i for k, (i, r) in enumerate(zip(*logs))]
 
 
-def mean_ratio(run: Column, table: list[float]) -> Column:
+def best_excess(run: Column, table: list[float], threshold: float) -> Column:
+    """The most by which a stretch of MIN_RUN characters or more exceeds threshold bits per transition, in bits altogether.
+
+    It is 0 or more where some stretch has a mean of threshold or more.  Linear: sums up to each transition less the
+    least sum that lies a stretch or more before it.
+    """
     n = len(ALPHABET) + 1
     folded = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")  # folded to a literal
     codes = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
-    moves = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.element_at(folded, a * n + b + 1))
-    return F.aggregate(moves, F.lit(0.0), lambda acc, x: acc + x) / (F.length(run) - 1)
+    moves = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.element_at(folded, a * n + b + 1) - threshold)
+    least = MIN_RUN - 1
+    late = F.concat(F.array_repeat(F.lit(0.0), least), F.slice(moves, F.lit(1), F.size(moves) - least))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("behind"), F.lit(0.0).alias("low"), F.lit(float("-inf")).alias("best"))
+
+    def step(acc, x):
+        n, total, behind = acc["n"] + 1, acc["sum"] + x["now"], acc["behind"] + x["late"]
+        low = F.least(acc["low"], behind)
+        best = F.when(n >= least, F.greatest(acc["best"], total - low)).otherwise(acc["best"])
+        return F.struct(n.alias("n"), total.alias("sum"), behind.alias("behind"), low.alias("low"), best.alias("best"))
+
+    return F.aggregate(F.zip_with(moves, late, lambda a, b: F.struct(a.alias("now"), b.alias("late"))), zero, step, lambda a: a["best"])
 
 
 def scan_secrets(docs: DataFrame, table: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text, base (array of spans) and added (array of Markov spans)."""
     table = table or ratio_table(labelled_samples(docs))
     found = docs.select("doc_id", text_of().alias("text")).withColumn("base", base_spans(F.col("text")))
-    runs = _spans(F.col("text"), RUN, 3, lambda h: h.rlike("[0-9]") & h.rlike("[A-Za-z]") & (mean_ratio(h, table) >= threshold))
+    runs = _spans(F.col("text"), RUN, 3, lambda h: best_excess(h, table, threshold) >= 0)
     return found.withColumn(
         "added", F.filter(runs, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     )

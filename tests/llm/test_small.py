@@ -207,6 +207,26 @@ def test_markov(spark):
     assert not any(added.values())
 
 
+def test_markov_any_run(spark):
+    words = [(i, "the quick brown fox jumped over another lazy dog into production settings with service readme and config " * 5) for i in range(50)]
+    letters, secret, plain = "qZkXvBmNpRtYwLcJhGdSxQfK", "q7Zk9XvB2mNp4RtY8wLc", "production/settings/with/another/service/readme/over-the-brown-fox"
+    odd = [letters, f"{plain}/{secret}/{plain}", plain, "-" * 30, "=" * 30, "_" * 30, "theQuickBrownFoxJumpedOver", secret[:15], plain + secret[:4]]
+    df = spark.createDataFrame(words + [(100 + i, x) for i, x in enumerate(odd)], "doc_id long, text string")
+    added = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secrets.scan_secrets(df).collect() if r.added}
+    assert added == {100: [(0, len(letters))], 101: [(0, len(odd[1]))]}
+
+
+def test_best_stretch(spark):
+    rng = np.random.default_rng(3)
+    table = [round(x, 4) for x in rng.normal(0, 2, (len(secrets.ALPHABET) + 1) ** 2).tolist()]
+    runs = ["".join(rng.choice(list(secrets.ALPHABET), n)) for n in [16, 16, 17, 31, 40, 90] * 5]
+    got = spark.createDataFrame([(x,) for x in runs], "x string").select("x", secrets.best_excess(F.col("x"), table, 1.0).alias("e")).collect()
+    for r in got:
+        c = [secrets.ALPHABET.index(x) + 1 for x in r.x]
+        moves = [table[a * (len(secrets.ALPHABET) + 1) + b] - 1 for a, b in zip(c, c[1:])]
+        assert abs(r.e - max(sum(moves[a:b]) for a in range(len(moves)) for b in range(a + 15, len(moves) + 1))) < 1e-6
+
+
 def base_personal(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
