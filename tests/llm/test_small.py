@@ -464,6 +464,23 @@ def test_pipeline(spark, sf):
     assert [r.doc_id for r in stages[4].orderBy("start").collect()] == order
 
 
+def test_pipeline_rows_without_id(spark, sf):
+    import corpus_pipeline as c
+
+    bench = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(r.text.split()) >= 20)
+    a, b, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abd")
+    rows = [(1, a), (None, a), (None, a + " tail"), (None, b), (None, b), (None, b + " tail"), (None, d), (None, f"{d[:60]} {bench}"), (2, f"x {bench}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "more") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    near = c.near_duplicates(spark, docs, sf)
+    assert near.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in near.collect()]
+    assert kept.count((1, a)) == 1 and (None, a) not in kept and (None, a + " tail") not in kept
+    assert sum(t in (b, b + " tail") for _, t in kept) == 1 and (None, d) in kept
+    left = c.decontamination(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(rows[:7])
+
+
 def test_queries_have_oracles(spark, sf, duck):
     from tessera.llm import queries
     from util import same
