@@ -1,13 +1,13 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join by MinHash LSH with fixed bands, with exact verification.
 
 Similarity is the Jaccard coefficient of the sets of 5-word shingles; pairs of 0.8 or more are linked.
 
 1. *Classes*: texts with the same word sequence form one class, named by its smallest doc_id.  Copies
    are never expanded.
-2. *Forest*: each class gets `TREES` label sequences of `MAX_DEPTH` MinHash labels (16 bits each).  A tree
-   is the sorted table of its sequences, i.e. a prefix trie.  Matched prefixes are shortened from MAX_DEPTH
-   until the expected recall 1 - (1 - 0.8^depth)^TREES of a pair at the threshold reaches `TARGET_RECALL`; the members of each
-   trie node of that depth are linked to the node's smallest member.
+2. *Bands*: each class gets `TREES` label sequences of MinHash labels (16 bits each), of one fixed depth: the longest up
+   to `MAX_DEPTH` with an expected recall 1 - (1 - 0.8^depth)^TREES of `TARGET_RECALL` for a pair at the threshold (6 with
+   these constants).  This fixed banding replaces an LSH forest: there is no sorted trie, and the data do not
+   change the depth.  Classes with equal sequences in a band are linked to the smallest of them.
 3. *Verification*: the connected components of those links are compared exactly, every pair inside a
    component, in blocks: a component is dealt by hash into blocks, each pair of blocks is one task unit,
    and a unit returns counts per class and a spanning forest of its links, never the pairs.
