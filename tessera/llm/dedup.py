@@ -1,19 +1,25 @@
 """Exact dedup with a log-structured merge index of content digests.  DataFrame functions only.
 
-`LsmDigestIndex` keeps sorted runs of (bucket, digest, smallest id, count) in the shared folder:
-
-* *memtable*: the map-side aggregate of one ingest batch, a row per digest and task.
-* *flush*: the memtable is sorted by digest and written as a level-0 run, with Parquet bloom filters
-  on the digest and a fixed-size blocked Bloom bitmap (`FILTER_WORDS` 64-bit words, 512 KiB).
-* *compaction*: once a level holds `fan_in` runs they merge into one run of the next level, which keeps
-  the smallest identifier of each digest.
-* *lookup*: probes join the compacted run by digest; digests that stand for one row need no
-  verification, all others are hits, and hits are compared byte by byte with the text they refer to.
-
-Scale: digests are 32 bytes a row, so a run is ~1 % of the text.  Whole texts are only moved for hits;
-a broadcast bitmap (its size is a constant, not a function of the data) prunes the rest before the
-shuffle.  A bitmap that fills up stops pruning; results stay the same.  A hot digest (a third of all
-rows) shrinks to a row per task in the memtable; its probes go through a join that AQE splits.
+`LsmDigestIndex` keeps sorted runs of (digest, keep_id, copies) in the shared folder:
+
+* *memtable*: the aggregate of one ingest batch, combined in each task before the shuffle: a row per digest.
+* *lookup*: before a memtable is flushed its digests are looked up in the runs.  Every run has a filter, a blocked
+  Bloom bitmap of `FILTER_WORDS` 64-bit words.  One pass over the probes counts how many each filter lets pass; runs that
+  no probe can be in are skipped (`last_read` names those that were read).  Of the others only rows that pass the
+  probes' bitmap meet probes that pass the run's, by a join on the digest.
+* *flush*: the memtable's rows, with what the lookup found merged in, are cut into ranges of the digest, sorted and
+  written as a run of level 0.  So the newest run that holds a digest knows its smallest identifier and its
+  number of rows so far.
+* *compaction*: once a level holds `fan_in` runs they are merged two by two by sort-merge joins into one run of the next
+  level; of each digest the smallest identifier and the largest count stay.
+
+After all batches the digests with more than one row are the hits.  A bitmap of them lets all other rows of the table pass
+without a shuffle; rows that hit are compared byte by byte with the text of the row they point at.
+
+Scale: digests are 32 bytes a row, so a run is ~1 % of the text; whole texts move for hits only, pruned by a
+bitmap of their ids before the shuffle.  Bitmaps have a constant size (512 KiB); one that fills up stops pruning, and results stay the
+same.  A hot digest (a third of all rows) shrinks to a row per task in the memtable; its rows meet one row of the index
+through joins that AQE splits, and the row they are compared with is made distinct by digest.
 
 Defined cases: null text counts as empty and empty texts are equal to each other; rows with the same
 doc_id and the same text cannot be told apart, so each of them bears the same `kept`; a null doc_id is
@@ -26,11 +32,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fewer_files, shared_dir, stored, text_of
+from .shared import documents, fewer_files, file_number, shared_dir, stored, text_of
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 16
-RUN_FILTER_BYTES = 1 << 14
+MEMTABLES = 6
+FAN_IN = 4
+RUN_SCHEMA = "digest binary, keep_id long, copies long"
 
 
 def normalised(name: str = "text") -> Column:
@@ -65,92 +73,130 @@ def may_hold(bloom: Column, digest: Column, words: int = FILTER_WORDS) -> Column
 
 
 class LsmDigestIndex:
-    """Runs of (digest, keep_id, copies) under one shared folder."""
+    """Runs of (digest, keep_id, copies), each with its filter, under one shared folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
         self.spark, self.path, self.fan_in = spark, path or shared_dir(spark, "lsm"), fan_in
-        self.levels: list[list[str]] = [[]]
+        self.levels: list[list[str]] = [[]]  # paths of the runs, oldest first
+        self.last_read: list[str] = []
         self._next = 0
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def runs(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
+    def run(self, path: str) -> DataFrame:
+        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{path}/rows")
+
+    def filter_of(self, path: str) -> Column:
+        return self.spark.read.schema("bloom array<bigint>").parquet(f"{path}/filter").scalar()
+
+    def _new(self, digests: DataFrame, level: int) -> str:
+        """Names a run and writes its filter."""
         path = f"{self.path}/level={level}/run={self._next}"
         self._next += 1
-        options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(RUN_FILTER_BYTES)}
-        fewer_files(run).sortWithinPartitions("digest").write.options(**options).parquet(path)
+        bloom_row(digests.select("digest")).coalesce(1).write.parquet(f"{path}/filter")
+        return path
+
+    def _write(self, rows: DataFrame, path: str, level: int) -> None:
+        """One run: a sorted range of digests in each file."""
+        rows.select("digest", "keep_id", "copies").repartitionByRange(file_number(rows), "digest").sortWithinPartitions("digest").write.parquet(f"{path}/rows")
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
+    def lookup(self, probes: DataFrame, bloom: Column | None = None) -> DataFrame:
+        """(digest, keep_id, copies) of the distinct probes(digest) that the index holds.  bloom: the probes' bitmap."""
+        bloom = bloom_row(probes.select("digest")).scalar() if bloom is None else bloom
+        filters = {p: self.filter_of(p) for p in self.runs()}
+        self.last_read, out = [], self.spark.createDataFrame([], RUN_SCHEMA)
+        if filters:
+            passed = probes.agg(*[F.sum(may_hold(f, F.col("digest")).cast("long")).alias(f"n{i}") for i, f in enumerate(filters.values())]).first()
+            self.last_read = [p for p, n in zip(filters, passed) if n]
+        for p in self.last_read:
+            asked = probes.where(may_hold(filters[p], F.col("digest"))).select("digest")
+            out = out.unionByName(self.run(p).where(may_hold(bloom, F.col("digest"))).join(asked, "digest"))
+        return _combined(out)
+
     def put(self, batch: DataFrame) -> None:
-        """Flush one memtable: `batch` has `digest` and `id`."""
-        self._write(batch.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")), 0)
+        """Look up and flush one memtable: `batch` has `digest` and `id`."""
+        table = stored(batch.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")), "lsm-memtable")
+        path = self._new(table, 0)
+        old = self.lookup(table, self.filter_of(path)).select("digest", F.col("keep_id").alias("old_id"), F.col("copies").alias("old_copies"))
+        merged = table.join(old, "digest", "left").select(
+            "digest", F.least("keep_id", "old_id").alias("keep_id"), (F.col("copies") + F.coalesce("old_copies", F.lit(0))).alias("copies")
+        )
+        self._write(merged, path, 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fan_in:
                 self.compact(level)
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.parquet(*paths)
-        return runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-
     def compact(self, level: int) -> None:
         """Merge every run of a level into one of the next; the smallest identifier stays."""
         paths, self.levels[level] = self.levels[level], []
-        self._write(self._merged(paths), level + 1)
+        runs = [self.run(p) for p in paths]
+        while len(runs) > 1:
+            runs = [_merged(a, b) for a, b in zip(runs[::2], runs[1::2])] + ([runs[-1]] if len(runs) % 2 else [])
+        rows = stored(runs[0], "lsm-merged")
+        self._write(rows, self._new(rows, level + 1), level + 1)
+
+    def table(self, least: int = 1) -> DataFrame:
+        """The digests of all runs that stand for `least` rows or more, with their smallest identifier and rows."""
+        out = self.spark.createDataFrame([], RUN_SCHEMA)
+        for p in self.runs():
+            out = out.unionByName(self.run(p).where(F.col("copies") >= least))
+        return _combined(out)
 
-    def compact_all(self) -> None:
-        paths = [p for level in self.levels for p in level]
-        if len(paths) > 1:
-            top = len(self.levels)
-            self.levels = [[] for _ in range(top)]
-            self._write(self._merged(paths), top)
 
-    def table(self) -> DataFrame:
-        """The digests of all runs; after compact_all() a plain read of one run."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if len(paths) == 1 else self._merged(paths)
+def _combined(entries: DataFrame) -> DataFrame:
+    """Entries of several runs: counts are running ones, so the largest is the newest."""
+    return entries.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
 
 
-def exact_dedup(docs: DataFrame, memtables: int = 4) -> DataFrame:
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sorted runs as one, by a full outer sort-merge join."""
+    b = b.select("digest", F.col("keep_id").alias("b_id"), F.col("copies").alias("b_copies"))
+    return a.hint("merge").join(b, "digest", "full_outer").select("digest", F.least("keep_id", "b_id").alias("keep_id"), F.greatest("copies", "b_copies").alias("copies"))
+
+
+def exact_dedup(docs: DataFrame, memtables: int = MEMTABLES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     narrow_at = shared_dir(spark, "lsm-digests")
     # the batch of a row follows from its id alone, so a task run again feeds the same memtables
-    fewer_files(base).select(
-        "doc_id", "text_sha256", F.unhex("text_sha256").alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("batch")
-    ).write.partitionBy("batch").parquet(narrow_at)
-    schema = "doc_id long, text_sha256 string, digest binary, batch int"
-    narrow = spark.read.schema(schema).parquet(narrow_at)
-    index = LsmDigestIndex(spark, fan_in=memtables)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("batch")
+    fewer_files(base).select("doc_id", "digest", batch).write.partitionBy("batch").parquet(narrow_at)
+    narrow = spark.read.schema("doc_id long, digest binary, batch int").parquet(narrow_at)
+    index = LsmDigestIndex(spark)
     for b in range(memtables):
         index.put(narrow.where(F.col("batch") == b).select("digest", F.col("doc_id").alias("id")))
-    index.compact_all()
+    hits = stored(index.table(2), "lsm-hits")
 
-    table = index.table()
-    probed = stored(narrow.select("doc_id", "text_sha256", "digest").join(table, "digest"), "lsm-probed")
+    # rows whose digest stands for them alone pass without a shuffle
+    bloom = bloom_row(hits.select("digest")).scalar()
+    maybe = may_hold(bloom, F.col("digest"))
+    alone = narrow.where(~maybe).select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
+    met = narrow.where(maybe).join(hits, "digest", "left")
+    met = met.select("doc_id", "digest", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    met = stored(met, "lsm-met")
 
     # Byte verification of the hits: the text of each row against the text of the row it points at.
     # The bitmap is of the hits' ids, so other rows are left out before their text is touched.
-    bloom = bloom_row(probed.where("copies > 1").select(F.col("doc_id").alias("digest")))
-    texts = (
-        base.where(may_hold(bloom.scalar(), F.col("doc_id")))
-        .select("doc_id", "norm", F.unhex("text_sha256").alias("digest"))
-    )
-    hits = table.where("copies > 1").select(F.col("digest").alias("hit"), "keep_id")
-    # keyed by digest and id, so the first rows of hot groups are found without gathering the groups
-    firsts = texts.join(hits, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("norm").alias("keep_norm"))
+    bloom = bloom_row(met.where("copies > 1").select(F.col("doc_id").alias("digest"))).scalar()
+    texts = base.where(may_hold(bloom, F.col("doc_id"))).select("doc_id", "norm", "digest")
+    # keyed by digest and id, so the first rows of hot groups are found without gathering the groups; one for each digest
+    to = hits.select(F.col("digest").alias("hit"), "keep_id")
+    firsts = texts.join(to, (F.col("digest") == F.col("hit")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    firsts = firsts.groupBy("digest").agg(F.first("norm").alias("keep_norm"))
     unlike = stored(texts.join(firsts, "digest").where("norm <> keep_norm").select("doc_id", "digest", "norm"), "lsm-unlike")
 
-    if unlike.isEmpty():  # every hit has the bytes of the row it points at
-        out = probed.select("doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-        return out
-    # Digest collisions: their groups are formed by the bytes themselves.
-    clash = unlike.select("digest").distinct()
-    exact = texts.join(clash, "digest", "left_semi").groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-    fixed = texts.join(exact, ["digest", "norm"]).select("doc_id", F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "copies")
-    rest = probed.join(clash, "digest", "left_anti").select("doc_id", "text_sha256", "keep_id", "copies")
-    return rest.unionByName(fixed).select(
-        "doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    if not unlike.isEmpty():  # digest collisions: their groups are formed by the bytes themselves
+        clash = unlike.select("digest").distinct()
+        same = texts.join(clash, "digest", "left_semi")
+        exact = same.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        met = met.join(clash, "digest", "left_anti").unionByName(same.join(exact, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "copies"))
+    return alone.unionByName(met).select(
+        "doc_id", "keep_id", F.col("copies").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,9 +17,11 @@ from ..plans.ship import ship
 
 
 def _root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is absent (tests, a laptop) a temporary local folder."""
+    """The cluster's spark.checkpoint.dir; only in local mode, and where it is unset, a temporary local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.environ.get("TESSERA_LOCAL_CHECKPOINT")
         if not root:
             root = os.environ["TESSERA_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tessera-")
@@ -81,14 +84,55 @@ def stored(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is small and lies in fewer partitions: a row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if input_bytes(df) > cores * FILE_BYTES:
+        return df
+    filled = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(cores) if 0 < filled < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+# ---------------------------------------------------------------------------
+# Arrays
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often `use` (or a lambda inside it) reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+CHUNK = 128
+
+
+def prefix_sums(numbers: Column) -> Column:
+    """The running sums of an array of numbers, as array<bigint>.
+
+    Sums are formed in chunks that are then shifted: appending to one growing array would copy it each time.
+    """
+    last = lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0).cast("long"))
+    empty = F.array().cast("array<bigint>")
+    running = lambda c: F.aggregate(c, empty, lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+
+    def whole(a):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(CHUNK))
+        return bound(F.transform(starts, lambda s: running(F.slice(a, s + 1, F.lit(CHUNK)))), shifted)
+
+    def shifted(chunks):
+        sums = running(F.transform(chunks, last))
+        return F.flatten(F.zip_with(chunks, sums, lambda c, b: F.transform(c, lambda x: x + b - last(c))))
+
+    return bound(numbers, whole)
+
+
 # ---------------------------------------------------------------------------
 # Byte-level words of many texts at once.
 #

@@ -131,13 +131,54 @@ def test_exact_dedup(docs, empty):
     assert dedup.exact_dedup(empty).count() == 0
 
 
+def entries(df):
+    return {(bytes(r.digest), r.keep_id, r.copies) for r in df.collect()}
+
+
+def digest_rows(spark, rows):
+    return spark.createDataFrame(rows, "digest binary, id long")
+
+
 def test_lsm_compaction(spark):
     index = dedup.LsmDigestIndex(spark, fan_in=2)
-    for batch in ([(b"a", 5), (b"b", 6)], [(b"a", 3), (b"c", 9)], [(b"a", 4), (b"c", 1)]):
-        index.put(spark.createDataFrame(batch, "digest binary, id long"))
+    for batch in ([(b"a", 5), (b"b", 6)], [(b"a", 3), (b"c", 9)], [(b"a", 4), (b"c", 1), (b"n", None)]):
+        index.put(digest_rows(spark, batch))
     assert [len(x) for x in index.levels] == [1, 1]
-    index.compact_all()
-    assert {(bytes(r.digest), r.keep_id, r.copies) for r in index.table().collect()} == {(b"a", 3, 3), (b"b", 6, 1), (b"c", 1, 2)}
+    want = {(b"a", 3, 3), (b"b", 6, 1), (b"c", 1, 2), (b"n", None, 1)}
+    assert entries(index.table()) == want
+    assert entries(index.table(2)) == {x for x in want if x[2] > 1}
+    merged = index.run(index.levels[1][0])  # the first two memtables, sorted by digest
+    assert [(bytes(r.digest), r.keep_id, r.copies) for r in merged.collect()] == sorted(entries(merged)) == [(b"a", 3, 2), (b"b", 6, 1), (b"c", 9, 1)]
+    assert entries(index.lookup(digest_rows(spark, [(b"a", 0), (b"b", 0), (b"z", 0)]))) == {(b"a", 3, 3), (b"b", 6, 1)}
+
+
+def test_lsm_filters_skip_runs(spark):
+    index = dedup.LsmDigestIndex(spark, fan_in=9)
+    for batch in ([(b"a", 5), (b"b", 6)], [(b"c", 9)], [(b"b", 2)]):
+        index.put(digest_rows(spark, batch))
+    first, second, third = index.runs()
+    assert entries(index.lookup(digest_rows(spark, [(b"c", 0)]))) == {(b"c", 9, 1)}
+    assert index.last_read == [second]
+    assert entries(index.lookup(digest_rows(spark, [(b"b", 0)]))) == {(b"b", 2, 2)}
+    assert index.last_read == [first, third]
+    assert entries(index.lookup(digest_rows(spark, [(b"x", 0)]))) == set() and index.last_read == []
+    assert entries(index.lookup(digest_rows(spark, []))) == set() and index.last_read == []
+
+
+def test_exact_dedup_verifies_bytes(spark, monkeypatch):
+    """Digests that collide: groups are formed by the bytes."""
+    monkeypatch.setattr(dedup.F, "sha2", lambda c, n: F.md5(F.substring(c, 1, 1)))
+    docs = spark.createDataFrame([(1, "ax"), (2, "ay"), (3, "ax"), (4, "b"), (5, "ay"), (5, "ay")], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup.exact_dedup(docs, 2).collect()}
+    assert got == {(1, 1, 2, True), (2, 2, 3, True), (3, 1, 2, False), (4, 4, 1, True), (5, 2, 3, False)}
+
+
+def test_prefix_sums(spark):
+    from tessera.llm import shared
+
+    rows = [(list(range(n)),) for n in (0, 1, 2, 127, 128, 129, 300, 1000)]
+    for r in spark.createDataFrame(rows, "a array<int>").select("a", shared.prefix_sums(F.col("a")).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.a))
 
 
 # ------------------------------------------------------------------ 4
