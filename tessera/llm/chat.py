@@ -14,8 +14,8 @@ Output: `formatted`, and `loss_spans`: (start, end) in code points and (byte_sta
 bytes of each assistant text.
 
 Scale: one aggregate on conv_id; only turn, role and text are shuffled.  A conversation is one output
-row, so its turns meet in one task by contract; runs are cut with slices, so the work is linear in the
-number of turns.  Hot conversations are bounded by the 2 GB that a string may have.
+row, so its turns meet in one task by contract; its turns are sorted (n log n), and runs, pieces and places
+are cut by slices and chunked running sums, without growing an array turn by turn.  Hot conversations are bounded by the 2 GB that a string may have.
 
 Defined cases: null text and null role count as empty; turns are ordered by (turn, role, text), null
 turns first; repeated rows are turns of their own; a null conv_id is a conversation of its own; an
@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bound, prefix_sums
+
 # Control strings of the template.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[OUT]", "[ROLE]", "[/ROLE]", "[/TURN]", "[SEP]"]
 _CONTROL_PATTERN = r"([<\[])(/?(?:INST|TURN|ROLE|OUT|SEP)\]|/?s>)"
@@ -95,17 +97,20 @@ def format_chat(turns: DataFrame) -> DataFrame:
     )
     convs = convs.select("conv_id", F.concat(F.array(piece(F.lit("<s>"), F.lit(False))), pieces).alias("pieces"))
     # running lengths in code points and bytes
-    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<start:int,end:int,byte_start:int,byte_end:int>>").alias("spans"))
+    ends = F.zip_with(
+        prefix_sums(F.transform("pieces", lambda p: F.length(p["text"]))),
+        prefix_sums(F.transform("pieces", lambda p: F.octet_length(p["text"]))),
+        lambda c, b: F.struct(c.cast("int").alias("c"), b.cast("int").alias("b")),
+    )
 
-    def step(acc, p):
-        c, b = acc["c"] + F.length(p["text"]), acc["b"] + F.octet_length(p["text"])
-        span = F.struct(acc["c"].alias("start"), c.alias("end"), acc["b"].alias("byte_start"), b.alias("byte_end"))
-        return F.struct(c.alias("c"), b.alias("b"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def span(p, e):
+        begin, byte_begin = e["c"] - F.length(p["text"]), e["b"] - F.octet_length(p["text"])
+        return F.when(p["loss"], F.struct(begin.alias("start"), e["c"].alias("end"), byte_begin.alias("byte_start"), e["b"].alias("byte_end")))
 
     return convs.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        F.aggregate("pieces", zero, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.filter(F.zip_with("pieces", ends, span), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 
@@ -125,9 +130,10 @@ def read_chat(formatted: DataFrame) -> DataFrame:
     return formatted.select(
         "conv_id",
         F.flatten(F.transform(blocks, parse)).alias("turns"),
-        F.transform(
-            "loss_spans",
-            lambda s: unescape(F.decode(F.substr(F.encode("formatted", "UTF-8"), s["byte_start"] + 1, s["byte_end"] - s["byte_start"]), "UTF-8")),
+        # encoded once; each span is cut out by its bytes
+        bound(
+            F.encode("formatted", "UTF-8"),
+            lambda raw: F.transform("loss_spans", lambda s: unescape(F.decode(F.substr(raw, s["byte_start"] + 1, s["byte_end"] - s["byte_start"]), "UTF-8"))),
         ).alias("loss_texts"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, text_of
+from .shared import bound, documents, prefix_sums, text_of
 
 # The base patterns, in their order, and how long what they find must be.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,17 +48,11 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """array<struct<start,kind,end>> of the matches that `keep` accepts; empty where there is none."""
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    pairs = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda a: a["out"])).otherwise(empty)
+    ends = lambda hits: prefix_sums(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0))))
+    span = lambda h, e: F.struct((e - F.length(h)).cast("int").alias("start"), F.lit(kind).alias("kind"), e.cast("int").alias("end"))
+    # behind the last match lies one more gap, whose match is null
+    placed = bound(found, lambda hits: F.zip_with(hits, ends(hits), lambda h, e: F.when(h.isNotNull() & keep(h), span(h, e))))
+    return F.when(text.rlike(pattern), F.filter(placed, lambda s: s.isNotNull())).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
