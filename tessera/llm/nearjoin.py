@@ -1,30 +1,32 @@
-"""N-gram Jaccard self-join by MinHash LSH with fixed bands, with exact verification.
+"""N-gram Jaccard self-join by an LSH forest over MinHash signatures, with exact verification.
 
 Similarity is the Jaccard coefficient of the sets of 5-word shingles; pairs of 0.8 or more are linked.
 
-1. *Classes*: texts with the same word sequence form one class, named by its smallest doc_id.  Copies
-   are never expanded.
-2. *Bands*: each class gets `TREES` label sequences of MinHash labels (16 bits each), of one fixed depth: the longest up
-   to `MAX_DEPTH` with an expected recall 1 - (1 - 0.8^depth)^TREES of `TARGET_RECALL` for a pair at the threshold (6 with
-   these constants).  This fixed banding replaces an LSH forest: there is no sorted trie, and the data do not
-   change the depth.  Classes with equal sequences in a band are linked to the smallest of them.
-3. *Verification*: the connected components of those links are compared exactly, every pair inside a
-   component, in blocks: a component is dealt by hash into blocks, each pair of blocks is one task unit,
-   and a unit returns counts per class and a spanning forest of its links, never the pairs.
-4. Links' connected components are the groups, named by their smallest doc_id.
-
-Scale: texts are read twice; the second reading is cut down by a fixed-size bitmap of the components'
-members before it is shuffled.  Signatures, trie rows and edges are narrow.  A hot trie node shrinks to a
-row per task where its smallest member is found, and its members come back through a join that AQE can split.
-The exact comparison of a component of n classes costs n^2 comparisons inside vectorised units, which
-losing no link demands; the rows moved are n times the number of blocks (48, or more where a block would exceed
-8 MB).
+1. *Classes*: texts with the same word sequence form one class.  Classes have numbers of their own; doc_id is an attribute
+   (the smallest of the class).  Copies are never expanded.
+2. *Forest*: each class has `TREES` label sequences of `DEPTH` MinHash labels (16 bits each), a leaf of one tree each.  Leaves that share
+   no prefix of `least_depth()` labels with another are left out; the rest are stored sorted by (tree, labels), so that a
+   prefix is a range of rows: the tries.
+3. *Descent*: prefixes are compared at the full depth first.  Classes under one trie node are candidates, and connected
+   candidates form components.  After verification the recall is measured by capture and recapture: the first and the second
+   half of the trees find links independently, so of `a` and `b` links found by either half, `m` by both, about (a - m)(b - m) / m
+   are missed.  While some stratum of similarity (`BINS`) falls short of the target, all matched prefixes are shortened by one label and
+   the components that grow are verified anew; others keep their result.  At `least_depth()` the recall expected at
+   the threshold itself reaches the target, so the descent ends there at the latest, as it does if there is no link to measure by.
+4. *Verification*: exact, by sets of 64-bit shingle hashes.  A component is compared as a whole in blocks (each pair of blocks is a unit of work),
+   unless it is large and its trie nodes hold fewer rows to move: then each node is compared, and a pair counts
+   in the first tree that has it under one node.  A unit returns counts per class and a spanning forest of its links, never the pairs.
+5. Links' connected components are the groups, named by their smallest doc_id.
+
+Scale: texts are read twice; the second reading is cut down by a fixed-size bitmap to one row of each class that has
+candidates.  Signatures, leaves and edges are narrow.  A hot trie node shrinks to a row per task where its ends are found, and
+its members come back through a join that AQE can split.  A component of n classes costs n^2 vectorised comparisons at most;
+chains of weakly similar texts cost the squares of their trie nodes instead.
 
 Defined cases: a text of fewer than five words is one shingle made of all of them; texts without words are
-one class without links to others; null counts as empty; repeated rows belong to one class; a row
-without doc_id gets its text's class, and classes without any doc_id have null ids and no links;
-rows that share a doc_id share a text by contract; an empty table gives an empty result; further columns
-are ignored.
+one class without links to others; null counts as empty; repeated rows belong to one class; rows without doc_id and rows that
+share one take part like others, by their text; a class or group without any doc_id has a null id; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,31 +39,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .dedup import bloom_row, may_hold
-from .shared import batches, connected_components, documents, mix64, shingle_hashes, stored, text_of, words_of
+from .shared import batches, connected_components, documents, file_number, free_names, mix64, shingle_hashes, stored, text_of, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 24
-MAX_DEPTH = 9
+DEPTH = 9
 TARGET_RECALL = 0.999
+BINS = [0.8, 0.84, 0.88, 0.92]
 BLOCK_ROWS = 64
 MAX_BLOCKS = 48
 BLOCK_BYTES = 8 << 20
 
-_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, TREES * MAX_DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def expected_recall(depth: int, trees: int = TREES, threshold: float = THRESHOLD) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
-def forest_depth(target: float = TARGET_RECALL, trees: int = TREES, max_depth: int = MAX_DEPTH, threshold: float = THRESHOLD) -> int:
-    """The longest prefix that reaches the target, found by shortening; one label at least."""
-    depth = max_depth
-    while depth > 1 and expected_recall(depth, trees, threshold) < target:
-        depth -= 1
-    return depth
+def least_depth(target: float = TARGET_RECALL) -> int:
+    """The longest prefix whose expected recall at the threshold reaches the target; one label at least."""
+    return next((d for d in range(DEPTH, 1, -1) if expected_recall(d) >= target), 1)
+
+
+def measured_recall(a: int, b: int, m: int) -> float:
+    """Share of all links that two independent searches found, `a` and `b` of them and `m` both; 0 if it cannot be told."""
+    if not m:
+        return 0.0
+    return (a + b - m) / (a + b - m + (a - m) * (b - m) / m)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -78,8 +86,8 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(shingle_hashes(words, WORDS))
 
 
-def signatures(texts: list[str], depth: int) -> tuple[list[bytes], list[int], list[bytes]]:
-    """Per text: digest of its word sequence, number of words, and TREES label sequences of 2 * depth bytes."""
+def signatures(texts: list[str]) -> tuple[list[bytes], list[int], list[bytes]]:
+    """Per text: digest of its word sequence, number of words, and TREES label sequences of 2 * DEPTH bytes."""
     words, first, _, _ = words_of(texts)
     lengths = np.diff(first)
     keys = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
@@ -89,33 +97,37 @@ def signatures(texts: list[str], depth: int) -> tuple[list[bytes], list[int], li
     inside = np.arange(len(parts)) + WORDS <= first[text[: len(parts)] + 1]
     have = np.flatnonzero(lengths >= WORDS)
     values, starts = parts[inside], np.concatenate(([0], np.cumsum(lengths[have] - WORDS + 1)))[:-1].astype(np.int64)
-    labels = np.zeros((len(texts), TREES * depth), dtype=np.uint16)
+    labels = np.zeros((len(texts), len(_SEEDS)), dtype=np.uint16)
     short = [i for i in np.flatnonzero((lengths > 0) & (lengths < WORDS))]
-    for t in range(TREES):
-        for d in range(depth):
-            seed = _SEEDS[t * MAX_DEPTH + d]
-            if len(have):
-                labels[have, t * depth + d] = (mix64(np.minimum.reduceat(values * seed, starts)) >> np.uint64(48)).astype(np.uint16)
-            for i in short:
-                labels[i, t * depth + d] = int(mix64(_shingles(words[first[i] : first[i + 1]]) * seed)[0] >> np.uint64(48))
+    for k, seed in enumerate(_SEEDS):
+        if len(have):
+            labels[have, k] = (mix64(np.minimum.reduceat(values * seed, starts)) >> np.uint64(48)).astype(np.uint16)
+        for i in short:
+            labels[i, k] = int(mix64(_shingles(words[first[i] : first[i + 1]]) * seed)[0] >> np.uint64(48))
     return keys, lengths.tolist(), [row.astype(">u2").tobytes() for row in labels]
 
 
-def _signed(docs: DataFrame, depth: int) -> DataFrame:
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), key, n_words, size and labels of every row."""
+
     def sign(batches_):
         for batch in batches_:
             texts = batch.column("text").to_pylist()
             keys, n, labels = [], [], []
             for a, b in batches(texts, 1_000_000):
-                k, w, s = signatures(texts[a:b], depth)
+                k, w, s = signatures(texts[a:b])
                 keys, n, labels = keys + k, n + w, labels + s
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), batch.column("size"), pa.array(labels, pa.binary())],
-                names=["doc_id", "key", "n_words", "size", "labels"],
+                [batch.column("doc_id"), batch.column("t"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), batch.column("size"), pa.array(labels, pa.binary())],
+                names=["doc_id", "t", "key", "n_words", "size", "labels"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("size", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(sign, "doc_id long, key binary, n_words long, size long, labels binary")
+    rows = _rows(docs).withColumn("size", F.octet_length("text").cast("long"))
+    return rows.select("doc_id", "t", "text", "size").mapInArrow(sign, "doc_id long, t long, key binary, n_words long, size long, labels binary")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -141,116 +153,242 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One unit: all pairs of one block, or all pairs between two blocks."""
-    pdf = pdf.drop_duplicates("id").sort_values("id")
-    same = bool((pdf["u"] == pdf["v"]).iloc[0])
-    sets = []
-    texts = pdf["text"].tolist()
-    for a, b in batches(texts):
-        sets += shingle_sets(texts[a:b])
-    ids, sizes = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-    n = np.array([len(s) for s in sets], dtype=np.float64)
-    left = np.arange(len(sets)) if same else np.flatnonzero((pdf["block"] == pdf["u"]).to_numpy())
-    right = left if same else np.flatnonzero((pdf["block"] == pdf["v"]).to_numpy())
-    both = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
-    linked = (both > 0) & (both >= THRESHOLD * (n[left][:, None] + n[right][None, :] - both) - 1e-9)
-    if same:
-        np.fill_diagonal(linked, False)
-    texts_, docs_ = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-    texts_[left] += linked.sum(1)
-    docs_[left] += (linked * sizes[right][None, :]).sum(1).astype(np.int64)
-    if not same:
-        texts_[right] += linked.sum(0)
-        docs_[right] += (linked * sizes[left][:, None]).sum(0).astype(np.int64)
-    # spanning forest of the unit's links
-    root = np.arange(len(ids))
-    grid = np.zeros((len(ids), len(ids)), dtype=bool)
-    grid[np.ix_(left, right)] |= linked
-    grid |= grid.T
-    while True:
-        low = np.where(grid, root[None, :], len(ids)).min(1, initial=len(ids))
-        new = np.minimum(root, low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    hit = texts_ > 0
-    return pd.DataFrame({"id": ids[hit], "n_texts": texts_[hit], "n_docs": docs_[hit], "root": ids[root][hit]})
+def _depths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The longest common prefix of the labels in each tree; x and y are [n, TREES, DEPTH]."""
+    return np.logical_and.accumulate(x == y, axis=2).sum(2)
 
 
-def near_links(docs: DataFrame, target: float = TARGET_RECALL) -> DataFrame:
+def comparer(least: int, depth: int):
+    """The function that compares one unit: all pairs of one block, or all pairs between two blocks.
+
+    In a unit of a trie node (tree >= 0) a pair counts if no earlier tree has it under one node of this depth.  Besides a
+    row per class with links there is one row of counts for the recall: for each depth from `least` on and each of BINS the
+    links under one node in the first half of the trees, in the second half, and in both.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        comp, tree, same = int(pdf["comp"].iloc[0]), int(pdf["tree"].iloc[0]), bool((pdf["u"] == pdf["v"]).iloc[0])
+        sets = []
+        texts = pdf["text"].tolist()
+        for a, b in batches(texts):
+            sets += shingle_sets(texts[a:b])
+        ids, sizes = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
+        labels = np.frombuffer(b"".join(pdf["labels"]), dtype=np.uint16).reshape(len(ids), TREES, DEPTH)
+        n = np.array([len(s) for s in sets], dtype=np.float64)
+        left = np.arange(len(sets)) if same else np.flatnonzero((pdf["block"] == pdf["u"]).to_numpy())
+        right = left if same else np.flatnonzero((pdf["block"] == pdf["v"]).to_numpy())
+        both = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
+        union = n[left][:, None] + n[right][None, :] - both
+        linked = (both > 0) & (both >= THRESHOLD * union - 1e-9)
+        if same:
+            np.fill_diagonal(linked, False)
+        stats = np.zeros((DEPTH - least + 1, len(BINS), 3), dtype=np.int64)
+        for i in np.flatnonzero(linked.any(1)):
+            at = np.flatnonzero(linked[i])
+            deep = _depths(labels[left[i]][None], labels[right[at]])
+            if tree >= 0:
+                mine = (deep[:, tree] >= depth) & (deep[:, :tree] < depth).all(1)
+                linked[i, at[~mine]] = False
+                at, deep = at[mine], deep[mine]
+            if same:  # each pair is met twice
+                deep, at = deep[at > i], at[at > i]
+            kind = np.searchsorted(BINS, both[i, at] / union[i, at] + 1e-9, "right") - 1
+            a, b = deep[:, : TREES // 2].max(1, initial=0), deep[:, TREES // 2 :].max(1, initial=0)
+            for d in range(least, DEPTH + 1):
+                for k, found in enumerate((a >= d, b >= d, (a >= d) & (b >= d))):
+                    stats[d - least, :, k] += np.bincount(np.maximum(kind[found], 0), minlength=len(BINS))
+        texts_, docs_ = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        texts_[left] += linked.sum(1)
+        docs_[left] += (linked * sizes[right][None, :]).sum(1).astype(np.int64)
+        if not same:
+            texts_[right] += linked.sum(0)
+            docs_[right] += (linked * sizes[left][:, None]).sum(0).astype(np.int64)
+        # spanning forest of the unit's links
+        root = np.arange(len(ids))
+        grid = np.zeros((len(ids), len(ids)), dtype=bool)
+        grid[np.ix_(left, right)] |= linked
+        grid |= grid.T
+        while True:
+            low = np.where(grid, root[None, :], len(ids)).min(1, initial=len(ids))
+            new = np.minimum(root, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        hit, told = np.flatnonzero(texts_ > 0), int(stats.any())
+        rows = {
+            "id": pd.array([*ids[hit], *[None] * told], dtype="Int64"),
+            "n_texts": [*texts_[hit], *[0] * told],
+            "n_docs": [*docs_[hit], *[0] * told],
+            "root": [*ids[root][hit], *[0] * told],
+            "stats": pd.Series([None] * len(hit) + [stats.reshape(-1).tolist()] * told, dtype=object),
+        }
+        return pd.DataFrame(rows).astype({"n_texts": "int64", "n_docs": "int64", "root": "int64"}).assign(comp=comp)
+
+    return compare
+
+
+def _units(members: DataFrame, leaves: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """comp, tree, prefix, id, block, blocks: how the components of members(id, comp, size) are compared; and those done by nodes.
+
+    A component goes whole (tree -1), in blocks of BLOCK_ROWS classes, MAX_BLOCKS of them unless a block would exceed BLOCK_BYTES.  One that
+    needs all of MAX_BLOCKS goes node by node if that moves fewer rows.
+    """
+    split = None
+    blocks = lambda n, b: F.greatest(F.least(F.ceil(F.col(n) / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.col(b) / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    sizes = stored(sizes.withColumn("blocks", blocks("n", "bytes")), "near-sizes", narrow=True)
+    whole = members.join(sizes.select("comp", "blocks"), "comp").select("comp", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix"), "id", "blocks")
+    large = sizes.where(F.col("blocks") >= MAX_BLOCKS)
+    if not large.isEmpty():
+        rows = leaves.select("id", "size", "tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"))
+        rows = rows.join(members.select("id", "comp"), "id").join(large.select("comp"), "comp")
+        h = F.xxhash64("id")
+        nodes = rows.groupBy("comp", "tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")).where("n > 1")
+        # nodes of the same members are compared in the first tree alone
+        nodes = nodes.groupBy("comp", "n", "bytes", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("p")).select("comp", "p.*", blocks("n", "bytes").alias("blocks"), "n")
+        nodes = stored(nodes, "near-nodes")
+        moved = nodes.groupBy("comp").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved"))
+        split = stored(large.join(moved, "comp").where(F.col("moved") < F.col("n") * F.col("blocks")).select("comp"), "near-split", narrow=True)
+        by_node = rows.join(nodes.join(split, "comp", "left_semi").drop("n"), ["comp", "tree", "prefix"]).select("comp", "tree", "prefix", "id", "blocks")
+        whole = whole.join(split, "comp", "left_anti").unionByName(by_node)
+    return whole.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), split
+
+
+def _verified(units: DataFrame, texts: DataFrame, depth: int, least: int) -> DataFrame:
+    """comp, id, n_texts, n_docs, root, stats from the exact comparison of the units."""
+    units = units.join(texts.select("id", "text", "copies", "labels"), "id")
+    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("comp", "tree", "prefix", "id", "text", "copies", "labels", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    return units.groupBy("comp", "tree", "prefix", "u", "v").applyInPandas(comparer(least, depth), "comp long, id long, n_texts long, n_docs long, root long, stats array<long>")
+
+
+def _recall(found: DataFrame, depth: int, least: int) -> float:
+    """The least measured recall of the strata at this depth; 0 where there is no link."""
+    sums = found.where("stats is not null").select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    stats = np.zeros((DEPTH - least + 1) * len(BINS) * 3, dtype=np.int64)
+    for r in sums:  # at most one row for each entry
+        stats[r["k"]] = r["v"]
+    rows = stats.reshape(-1, len(BINS), 3)[depth - least]
+    links = stats.reshape(-1, len(BINS), 3)[0, :, :2].sum(1)  # strata with links, as far as any depth tells
+    return min((measured_recall(*map(int, r)) for r, n in zip(rows, links) if n), default=0.0)
+
+
+def near_links(docs: DataFrame, target: float = TARGET_RECALL, trace: list | None = None) -> DataFrame:
     """doc_id, class_id, n_links (other documents of similarity 0.8 or more, copies included), n_text_links
-    (other classes), group_id (smallest doc_id of the linked group) and group_size, for every row."""
-    spark = docs.sparkSession
-    depth = forest_depth(target)
-    signed = stored(_signed(docs, depth), "near-signed")
-    classes = stored(
-        signed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "labels", "n_words", "size")).alias("m"), F.count(F.lit(1)).alias("copies")).select(
-            "key", F.col("m.doc_id").alias("id"), "m.labels", "m.n_words", "m.size", "copies"
-        ),
-        "near-classes",
-    )
-    searched = classes.where("id is not null and n_words > 0")
-    rows = searched.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substr("labels", t * (2 * depth) + 1, F.lit(2 * depth)))).alias("tree", "prefix"))
-    nodes = rows.groupBy("tree", "prefix").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "prefix", "first")
-    nodes = stored(nodes, "near-nodes")
-    edges = rows.join(nodes, ["tree", "prefix"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    parts = connected_components(edges, "near-candidates")
-
-    members = parts.join(searched.select("id", "size", "copies"), "id")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    sizes = stored(sizes.select("component", blocks.cast("int").alias("blocks")), "near-sizes", narrow=True)
-    members = stored(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "near-members", narrow=True)
-
-    bloom = bloom_row(members.select(F.col("id").alias("digest")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).where(may_hold(bloom.scalar(), F.col("id")))
-    units = texts.join(members, "id").select(
-        "id", "text", "copies", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    units = units.select("id", "text", "copies", "component", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
-    found = stored(
-        units.groupBy("component", "u", "v").applyInPandas(_compare, "id long, n_texts long, n_docs long, root long"), "near-links"
-    )
+    (other classes), group_id (smallest doc_id of the linked group), group_size, t (hash of the text) and g (number of the group), for every row.
+
+    trace: a list that takes (depth, measured recall) of each level of the descent.
+    """
+    ship(docs.sparkSession)
+    least = least_depth(target)
+    signed = stored(_signed(docs), "near-signed")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t", "labels", "n_words", "size")).alias("m")
+    classes = signed.groupBy("key").agg(best, F.count(F.lit(1)).alias("copies"))
+    # numbers are given once, as the rows are written
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", "m.doc_id", "m.t", "m.labels", "m.n_words", "m.size", "copies"), "near-classes")
+    searched = classes.where("n_words > 0")
+
+    leaf = lambda t: F.substr("labels", t * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+    leaves = searched.select("id", "size", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), leaf)).alias("tree", "label"))
+    low = F.substr("label", F.lit(1), F.lit(2 * least))
+    nodes = leaves.groupBy("tree", low.alias("low")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tree", "low")
+    leaves = leaves.withColumn("low", low).join(stored(nodes, "near-low"), ["tree", "low"]).select("id", "size", "tree", "label")
+    leaves = stored(leaves.repartitionByRange(file_number(classes), "tree", "label").sortWithinPartitions("tree", "label"), "near-forest")
+
+    members = stored(leaves.select("id", "size").distinct().withColumn("comp", F.col("id")), "near-members", narrow=True)
+    asked = members.join(searched.select("id", F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"), "labels", "copies"), "id")
+    bloom = bloom_row(asked.select(F.xxhash64("rep", "rep_t").alias("digest"))).scalar()
+    held = _rows(docs).where(may_hold(bloom, F.xxhash64("doc_id", "t"))).join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("rep_t")))
+    # rows that repeat hand in their text again
+    texts = stored(held.groupBy("id").agg(F.first("text").alias("text"), F.first("labels").alias("labels"), F.first("copies").alias("copies")), "near-texts")
+
+    found, by_node = None, None
+    for depth in range(DEPTH, least - 1, -1):
+        rows = leaves.select("id", "tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix")).join(members.select("id", "comp"), "id")
+        ends = rows.groupBy("tree", "prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "prefix", "lo")
+        edges = rows.join(stored(ends, "near-ends"), ["tree", "prefix"]).where("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b"))
+        merged = stored(connected_components(edges, "near-candidates"), "near-merged", narrow=True)
+        old, again = merged.select(F.col("id").alias("comp")), merged.select(F.col("component").alias("comp"))
+        if by_node is not None:  # these were compared down to the last depth only
+            old, again = old.unionByName(by_node).distinct(), again.unionByName(by_node.join(old, "comp", "left_anti"))
+        if not again.isEmpty():
+            moved = members.join(merged.withColumnRenamed("id", "comp"), "comp", "left")
+            members = stored(moved.select("id", "size", F.coalesce("component", "comp").alias("comp")), "near-members", narrow=True)
+            units, by_node = _units(members.join(again.distinct(), "comp", "left_semi"), leaves, depth)
+            new = _verified(units, texts, depth, least)
+            if found is not None:  # results of components that are done anew go
+                new = found.join(old, "comp", "left_anti").unionByName(new)
+            found = stored(new, "near-found", narrow=True)
+        recall = _recall(found, depth, least) if found is not None else 0.0
+        if trace is not None:
+            trace.append((depth, recall))
+        if recall >= target:
+            break
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "id long, n_texts long, n_docs long, root long")
+    found = found.where("id is not null")
     links = found.groupBy("id").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "near-groups")
     linked = stored(links.join(groups, "id"), "near-linked", narrow=True)
-    known = classes.join(linked, "id", "left")
-    known = known.select("key", "id", "copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("component", "id").alias("group_id"))
-    totals = known.groupBy(F.col("group_id").alias("g")).agg(F.sum("copies").alias("group_size"))
-    known = stored(known.join(totals, F.col("group_id").eqNullSafe(F.col("g")), "left"), "near-known")
-    return signed.select("doc_id", "key").join(known, "key").select(
+    known = classes.select("id", "key", "doc_id", "copies").join(linked, "id", "left")
+    known = known.select("key", "doc_id", "copies", F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("component", "id").alias("g"))
+    known = stored(known, "near-counted")
+    # most classes are groups of their own
+    totals = known.where("n_texts > 0").groupBy("g").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_size"))
+    known = known.join(totals, "g", "left").select(
+        "g", "key", F.col("doc_id").alias("class_id"), "copies", "n_texts", "n_docs",
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("group_size", "copies").alias("group_size"),
+    )
+    return signed.select("doc_id", "t", "key").join(stored(known, "near-known"), "key").select(
         "doc_id",
-        F.col("id").alias("class_id"),
+        "class_id",
         (F.col("n_docs") + F.col("copies") - 1).alias("n_links"),
         F.col("n_texts").alias("n_text_links"),
         "group_id",
         "group_size",
+        "t",
+        "g",
     )
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids(doc_id).
+def _row_key(docs: DataFrame):
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text_of()))
 
-    A fixed-size bitmap lets most rows pass without a shuffle; only rows that may be concerned are joined.
-    """
-    bloom = bloom_row(ids.select(F.col("doc_id").alias("digest"))).scalar()
-    maybe = F.coalesce(may_hold(bloom, F.col("doc_id").cast("long")), F.lit(False))
-    flagged = docs.withColumn("_maybe", maybe)
-    sure = flagged.where(~F.col("_maybe")).drop("_maybe")
-    rest = flagged.where("_maybe").drop("_maybe").join(ids.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return sure.unionByName(rest)
 
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone(doc_id, t): those of the same doc_id, null included, and hash of the text.
 
-def keep_one(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
-    """docs without the ids of `gone`, and with one row for each id of `again` (ids that repeat)."""
-    docs = drop_ids(docs, gone)
-    bloom = bloom_row(again.select(F.col("doc_id").alias("digest"))).scalar()
-    flagged = docs.withColumn("_maybe", F.col("doc_id").isNotNull() & may_hold(bloom, F.col("doc_id").cast("long")))
-    once = flagged.where("_maybe").drop("_maybe").dropDuplicates(["doc_id"])
-    return flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(once)
+    A fixed-size bitmap lets most rows pass without a shuffle; only rows that may be concerned are joined.
+    """
+    maybe = may_hold(bloom_row(gone.select(F.xxhash64("doc_id", "t").alias("digest"))).scalar(), _row_key(docs))
+    flag, gone_id, gone_t = free_names(docs, "maybe", "gone_id", "gone_t")
+    flagged = docs.withColumn(flag, maybe)
+    rest = flagged.where(flag).drop(flag).join(
+        gone.select(F.col("doc_id").alias(gone_id), F.col("t").alias(gone_t)),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_of()) == F.col(gone_t)),
+        "left_anti",
+    )
+    return flagged.where(~F.col(flag)).drop(flag).unionByName(rest)
+
+
+def keep_one(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """docs with one row of each group of links(doc_id, t, g, group_size): that of the smallest doc_id (then of the smallest
+    hash of the text); a row without doc_id stays only in groups without any."""
+    rows = stored(links.where("group_size > 1").select("doc_id", "t", "g"), "near-rows", narrow=True)
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("k"), F.count(F.lit(1)).alias("n"))
+    first = stored(first.select("g", F.col("k.doc_id").alias("k_id"), F.col("k.t").alias("k_t")), "near-first", narrow=True)
+    stays = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("t") == F.col("k_t"))
+    met = stored(rows.join(first, "g").groupBy("doc_id", "t", stays.alias("stays")).agg(F.count(F.lit(1)).alias("n")), "near-stays", narrow=True)
+    docs = drop_rows(docs, met.where("not stays").select("doc_id", "t"))
+    # a row that is repeated whole stays once
+    again = may_hold(bloom_row(met.where("stays and n > 1").select(F.xxhash64("doc_id", "t").alias("digest"))).scalar(), _row_key(docs))
+    flag, h = free_names(docs, "again", "h")
+    flagged = docs.withColumn(flag, again)
+    once = flagged.where(flag).withColumn(h, F.xxhash64(text_of())).dropDuplicates(["doc_id", h]).drop(flag, h)
+    return flagged.where(~F.col(flag)).drop(flag).unionByName(once)
 
 
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_links(documents(spark, sf_dir))
+    return near_links(documents(spark, sf_dir)).drop("t", "g")

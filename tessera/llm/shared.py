@@ -57,6 +57,11 @@ def file_number(df: DataFrame, narrow: bool = False) -> int:
     return max(1, size // NARROW_BYTES) if narrow else max(cores, size // FILE_BYTES)
 
 
+def task_number(df: DataFrame) -> int:
+    """Partitions for whole rows of df: the session's number, or more where that makes over 128 MB of input each."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // NARROW_BYTES)
+
+
 def laid_in_order(df: DataFrame) -> bool:
     """Whether df's partitions are ranges of an order, as repartitionByRange makes them."""
     node = df._jdf.queryExecution().optimizedPlan()
@@ -97,6 +102,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
