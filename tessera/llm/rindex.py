@@ -6,10 +6,11 @@
 2. *Contexts*: for each repeated anchor the bytes that its windows cover (600 at most).  Equal contexts are
    counted, not repeated.  A context that occurs twice is repeated throughout.
 3. *Run-length index*: the distinct contexts of anchors that have several are gathered by anchor into
-   shards of bounded size.  A shard's Burrows-Wheeler transform is stored by runs with the suffix-array samples at
-   the run ends.  Longest common prefixes with the suffix-array neighbours are computed at the run heads alone;
-   all others follow in text order (each one less than its left neighbour's), which streams the matching
-   statistics of every position; windows with a match of 400 or more are marked.
+   shards of bounded size.  A shard's Burrows-Wheeler transform is kept by runs (letter and head) with the suffix-array
+   samples at both ends of each run; the suffix array itself is dropped.  The matching statistics are streamed in text order from
+   these samples: a place's neighbours in the suffix array are those of the last sample before it, as far on as it is, and its match
+   with the lower neighbour is the last run head's less the distance.  Windows with a match of 400 or more are marked.
+   `count` searches a pattern backwards through the runs.
 4. An anchor with more than `MOST` distinct contexts is not put into one shard: its windows are halved by their
    place about the anchor, each half is grouped anew by the longer string that its windows share, and so on, at
    most 8 times, until groups are small or hold one window each.
@@ -32,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .dedup import bloom_row, may_hold
-from .shared import _BYTE_CODE, batches, documents, fewer_files, mix64, positional_powers, shared_dir, stored, text_of
+from .shared import _BYTE_CODE, batches, documents, fewer_files, mix64, positional_powers, shared_dir, stored, task_number, text_of
 
 LENGTH = 400
 CORE = 200
@@ -143,9 +145,35 @@ class RunLengthIndex:
         self.heads, self.letters = at, letters[at]  # run-length BWT
         self.run_starts = sa[at]  # suffix-array samples at both ends of each run
         self.run_ends = sa[np.concatenate((at[1:], [n])) - 1]
-        self._sa = sa
         self.n = n
 
+    def count(self, patterns: list[bytes]) -> np.ndarray:
+        """How often each pattern occurs, by backward search through the runs, one letter of all patterns at a time."""
+        lengths = np.diff(np.append(self.heads, self.n))
+        order = np.argsort(self.letters, kind="stable")  # runs by letter, then by place
+        letters, heads, sizes = self.letters[order].astype(np.int64), self.heads[order], lengths[order]
+        before = np.concatenate(([0], np.cumsum(sizes)))  # letters in the runs before, smaller letters included
+        keys = letters * (self.n + 1) + heads
+        smaller = before[np.searchsorted(letters, np.arange(258))]  # letters smaller than c in the whole transform
+
+        def rank(c, i):
+            """Smaller letters, and letters c among the first i."""
+            k = np.searchsorted(keys, c * (self.n + 1) + i, "left") - 1
+            inside = (k >= 0) & (letters[k] == c)
+            return np.where(inside, before[k] + np.minimum(sizes[k], i - heads[k]), smaller[c])
+
+        lo, hi = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.n, dtype=np.int64)
+        size = np.array([len(p) for p in patterns], dtype=np.int64)
+        data = np.frombuffer(b"".join(patterns), dtype=np.uint8)
+        last = np.cumsum(size)
+        for step in range(1, int(size.max(initial=0)) + 1):
+            live = np.flatnonzero((size >= step) & (lo < hi))
+            if not len(live):
+                break
+            c = data[last[live] - step].astype(np.int64) + 1
+            lo[live], hi[live] = rank(c, lo[live]), rank(c, hi[live])
+        return np.maximum(hi - lo, 0)
+
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of suffixes a and b, eight bytes at a time."""
         most = np.minimum(self.to_sep[a], self.to_sep[b])
@@ -163,23 +191,26 @@ class RunLengthIndex:
             live = live[out[live] > off]
         return out
 
+    def _last(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in text order the run whose sample is the last at or before it, and the distance to that sample."""
+        run = np.full(self.n, -1, dtype=np.int64)
+        run[samples] = np.arange(len(samples))
+        j = np.arange(self.n)
+        at = np.maximum.accumulate(np.where(run >= 0, j, 0))  # place 0 has a run of its own
+        return run[at], j - at
+
     def matching_statistics(self) -> np.ndarray:
         """For each text place the longest match with any other place, within contexts."""
-        n = self.n
-        # samples: the suffix before a run's first one is the end of the run before
+        # the suffix before a run's first one is the end of the run before
         lcp_heads = np.zeros(len(self.heads), dtype=np.int64)
         lcp_heads[1:] = self._common(self.run_ends[:-1], self.run_starts[1:])
-        place = np.full(n, -1, dtype=np.int64)
-        place[self.run_starts] = np.arange(len(self.heads))
-        # in text order: the last run start at or before each place, less the distance to it
-        j = np.arange(n)
-        last = np.maximum.accumulate(np.where(place >= 0, j, 0))
-        plcp = np.maximum(lcp_heads[place[last]] - (j - last), 0)
-        by_rank = plcp[self._sa]
-        both = np.maximum(by_rank, np.concatenate((by_rank[1:], [0])))
-        out = np.empty(n, dtype=np.int64)
-        out[self._sa] = both
-        return out
+        run, away = self._last(self.run_starts)
+        lower = np.maximum(lcp_heads[run] - away, 0)  # the match with the suffix before
+        # the suffix behind a run's last one is the start of the next run; places after the sample move along
+        run, away = self._last(self.run_ends)
+        after = np.append(self.run_starts[1:], 0)[run] + away
+        some = run < len(self.heads) - 1
+        return np.maximum(lower, np.where(some, lower[np.where(some, after, 0)], 0))
 
     def repeated(self, length: int = LENGTH) -> list[list[tuple[int, int]]]:
         """Per context the ranges (first, last) of window starts that occur elsewhere in the index."""
@@ -306,8 +337,8 @@ def _halve_rows(batches_):
 
 def _indexed(contexts: DataFrame) -> DataFrame:
     """(key, cd, ranges) from distinct contexts (key, cd, ctx)."""
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.select("key", "cd", "ctx").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_index_rows, "key long, cd binary, ranges array<struct<first:int,last:int>>")
+    dealt = contexts.select("key", "cd", "ctx").repartition(task_number(contexts), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_index_rows, "key long, cd binary, ranges array<struct<first:int,last:int>>")
 
 
 def _split_marks(big: DataFrame) -> DataFrame:
@@ -340,6 +371,7 @@ def _split_marks(big: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(d, t, ranges): for each document (by doc_id and hash of text) the byte ranges [first, last] to remove, not merged."""
+    ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
     long_ones = texts.where(F.octet_length("text") >= LENGTH)
     anchors = stored(long_ones.mapInArrow(_anchor_rows, "h long, d long, t long, lo int, hi int, p int"), "rindex-anchors")
