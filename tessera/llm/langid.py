@@ -5,9 +5,9 @@ states labels every position, and a document's probabilities are the mean over i
 (ASCII letters and bytes from 0x80).  Long texts are read whole, in stretches of `STRETCH` bytes side
 by side, each with a state of its own.
 
-Training (backpropagation through time, Adam) happens on the driver, from a bounded sample: of each of the
-at most `MAX_LANGUAGES` most frequent languages `PER_LANGUAGE` rows of the smallest hashes, and of each row one piece of
-`PIECE` characters at a hashed place.  Rows whose crc32(doc_id) mod 5 is 0 are held out.  lang, source and doc_id
+Training (backpropagation through time, Adam) happens on the driver, from a bounded sample: of each language
+`PER_LANGUAGE` rows of the smallest hashes (fewer if there are so many languages that `SAMPLE` rows would be exceeded, one at least), and
+of each row one piece of `PIECE` characters at a hashed place.  More than `SAMPLE` languages are refused.  Rows whose crc32(doc_id) mod 5 is 0 are held out.  lang, source and doc_id
 are no inputs of a prediction.
 
 Scale: training costs the same for any table; prediction is one pass without a shuffle, in Arrow
@@ -20,28 +20,27 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ship import ship
-from .shared import batches, documents
+from .shared import batches, documents, free_names
 
 HIDDEN = 8
 STRETCH = 64
 PER_LANGUAGE = 500
-MAX_LANGUAGES = 200
+SAMPLE = 100_000
 PIECE = 640
 ROUNDS = 240
 BATCH = 256
 UNKNOWN = "und"
 LEAST_SCORE = 0.4
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _COUNTS = np.zeros(256, dtype=np.float32)
 _COUNTS[0x80:] = 1
 _COUNTS[65:91] = 1
@@ -196,25 +195,25 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, rounds: int = RO
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """At most PER_LANGUAGE pieces of each language; Spark limits each task's rows before they meet."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(SAMPLE + 1).collect()}
     if not known:
         return []
+    if len(known) > SAMPLE:
+        raise ValueError(f"more than {SAMPLE} languages")
+    most = max(1, min(PER_LANGUAGE, SAMPLE // len(known)))
     h = F.xxhash64(F.col("doc_id"), F.col("text"))
     # a share of the hashes that leaves about twice the rows wanted, so that few rows meet at any scale
-    share = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, int((1 << 31) * min(1.0, 2 * PER_LANGUAGE / n)))])
+    share = F.create_map(*[F.lit(x) for lang, n in known.items() for x in (lang, int((1 << 31) * min(1.0, max(2 * most, most + 30) / n)))])
     rows = rows.where(F.pmod(F.xxhash64(h), F.lit(1 << 31)) < F.element_at(share, F.col("lang")))
     begin = F.pmod(h, F.greatest(F.length("text") - PIECE, F.lit(1))).cast("int") + 1
-    pieces = rows.where(F.col("lang").isin(list(known))).select("lang", h.alias("h"), F.substr("text", begin, F.lit(PIECE)).alias("text"))
+    pieces = rows.select("lang", h.alias("h"), F.substr("text", begin, F.lit(PIECE)).alias("text"))
     w = Window.partitionBy("lang").orderBy("h", "text")
-    few = pieces.withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_LANGUAGE)
+    few = pieces.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     return [(r["lang"], r["text"]) for r in few.orderBy("lang", "n").collect()]
 
 
-def identify(docs: DataFrame, net: ByteGru | None = None, keep_text: bool = False) -> DataFrame:
-    """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score.
-
-    With keep_text every column of docs comes back too (`_lang_pred`, `_score`), for filtering in one pass.
-    """
+def _labeller(docs: DataFrame, net: ByteGru | None):
+    """A function from texts to (languages, scores), for the executors."""
     net = net or train(training_rows(docs))
     shared = ship(docs.sparkSession).sparkContext.broadcast(net)
 
@@ -229,23 +228,35 @@ def identify(docs: DataFrame, net: ByteGru | None = None, keep_text: bool = Fals
                 said[i], score[i] = model.labels[k], min(1.0, max(0.0, v))
         return said, score
 
-    if keep_text:
-        names = docs.columns
+    return label
 
-        def filtered(batches_):
-            for batch in batches_:
-                said, score = label(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said), pa.array(score, pa.float64())], names=[*names, "_lang_pred", "_score"])
 
-        schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-        return docs.mapInArrow(filtered, schema)
+def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
+    """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score."""
+    label = _labeller(docs, net)
 
     def predict(batches_):
         for batch in batches_:
             said, score = label(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identify_all(docs: DataFrame, net: ByteGru | None = None) -> tuple[DataFrame, str, str]:
+    """docs with all its columns and two more, whose names follow: predicted language and score; for filtering in one pass."""
+    label = _labeller(docs, net)
+    lang, score = free_names(docs, "lang_pred", "score")
+    names = docs.columns
+
+    def predict(batches_):
+        for batch in batches_:
+            said, scores = label(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang, score])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(predict, schema), lang, score
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
