@@ -4,6 +4,7 @@ File format (one Parquet row per *frame*; Parquet gives atomic commits, so a los
 half-written file):
 
 * `shard`, `frame`: a frame's place; frames follow one another by (shard, frame).
+* `n_ids`, `n_docs`, `block_bytes`: what the chunk index takes, without a reading of the planes.
 * `doc_ids`, `lengths`: the documents of the frame, in order, and their numbers of ids.
 * `blocks`: the frame's ids in fixed-size blocks of `BLOCK` ids (the last may be short), each
   `{n, planes}`.  A block of n ids, seen as an n x 4 byte matrix, is transposed; `planes` are its 4 byte
@@ -11,7 +12,7 @@ half-written file):
   instead (32 planes): slower, and larger on 16-bit vocabularies.  A plane of zeros is stored as an empty string.
 * chunk index (second table): `shard, frame, first_start, n_ids, n_docs, block_bytes`.
 
-Scale: documents are dealt by ranges of doc_id into shards of bounded size; tasks stream and flush a
+Scale: documents are dealt by ranges of doc_id into shards, more of them where one would read over 128 MB; tasks stream and flush a
 frame at about `FRAME` ids, so memory does not grow with a shard.  Starts come from a sum per shard
 (one row a shard goes to the driver) and a sum within each shard.  Reading is frame by frame, without
 a shuffle.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .shared import batches, documents, shared_dir, span_hashes, text_of
+from .shared import batches, documents, free_names, shared_dir, span_hashes, task_number, text_of
 
 BLOCK = 32_768
 FRAME = 262_144
@@ -46,7 +47,7 @@ TOKENIZER = "word_bpe_49k.json"
 LEVEL = 3
 
 FRAME_SCHEMA = (
-    "shard int, frame int, n_ids long, doc_ids array<long>, lengths array<long>, "
+    "shard int, frame int, n_ids long, n_docs int, block_bytes array<long>, doc_ids array<long>, lengths array<long>, "
     "blocks array<struct<n:int,planes:array<binary>>>"
 )
 
@@ -114,11 +115,23 @@ _SLOTS = 1 << 19
 _POOL = 4_000_000
 
 
+def _first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 16 bytes of each piece as two numbers, bytes past its end as zeros."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(24, dtype=np.uint8)]), 8)
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    for k in (0, 1):
+        x = np.ascontiguousarray(eights[starts + 8 * k]).view("<u8")[:, 0]
+        room = np.clip(ends - starts - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
+        out[:, k] = np.where(room == 64, x, x & ((np.uint64(1) << np.minimum(room, np.uint64(63))) - np.uint64(1)))
+    return out
+
+
 class Encoder:
     """Ids of many texts at once, with a bounded table of the ids of pieces.
 
     The table is direct-mapped by a 64-bit hash of the piece: a slot holds the piece met last, so memory is
-    bounded and frequent pieces come back soon after they are driven out.
+    bounded and frequent pieces come back soon after they are driven out.  A slot keeps the piece's 16 bytes (shorter ones are filled
+    up with zeros, which no piece has), and only a piece of the same bytes takes its ids; longer pieces are not kept.
     """
 
     def __init__(self, name: str):
@@ -138,7 +151,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
+        self.keys = np.zeros((_SLOTS, 2), dtype=np.uint64)
+        self.at, self.size = np.zeros(_SLOTS, dtype=np.int64), np.zeros(_SLOTS, dtype=np.int64)
         self.pool, self.used = np.zeros(_POOL + (1 << 20), dtype="<u4"), 0
 
     def _pieces(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,23 +183,32 @@ class Encoder:
         first = np.searchsorted(starts, np.concatenate(([0], bounds)))
         if not len(starts):
             return [b""] * len(texts)
-        h = span_hashes(data, starts, ends) | np.uint64(1)  # 0 marks an empty slot
+        h, same = span_hashes(data, starts, ends), _first_bytes(data, starts, ends)
         slot = (h >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
-        missing = np.flatnonzero(self.keys[slot] != h)
+        short = ends - starts <= 16
+        missing = np.flatnonzero(~short | (self.keys[slot] != same).any(1))
         at, size = self.at[slot], self.size[slot]
         if len(missing):
-            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
             raw = data.tobytes()
-            spans = zip(starts[missing[where]].tolist(), ends[missing[where]].tolist())
-            ids, sizes = self._pieces([raw[a:b].decode("latin-1") for a, b in spans])
+            spans = list(zip(starts[missing].tolist(), ends[missing].tolist()))
+            new, where, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            if (same[missing] != same[missing[where]][back]).any() or not short[missing].all():
+                # long pieces, or two of one hash: told apart by their bytes
+                numbers: dict[bytes, int] = {}
+                back = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in spans])
+                where = np.unique(back, return_index=True)[1]
+            ids, sizes = self._pieces([raw[a:b].decode("latin-1") for a, b in (spans[k] for k in where.tolist())])
             if self.used + len(ids) > len(self.pool):  # one group's pieces need more room than the pool has left
                 self.pool = np.concatenate([self.pool[: self.used], ids, np.zeros(1 << 20, dtype="<u4")])
             self.pool[self.used : self.used + len(ids)] = ids
             places = self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
             at[missing], size[missing] = places[back], sizes[back]
-            slots = (new >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
-            self.keys[slots], self.at[slots], self.size[slots] = new, places, sizes
+            keep = np.flatnonzero(short[missing[where]])
+            # of two pieces in one slot one is kept, whole
+            slots, last = np.unique(slot[missing[where[keep]]][::-1], return_index=True)
+            keep = keep[::-1][last]
+            self.keys[slots], self.at[slots], self.size[slots] = same[missing[where[keep]]], places[keep], sizes[keep]
         # ids of all pieces: each piece's place, counted up over its length
         total = np.concatenate(([0], np.cumsum(size)))
         flat = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
@@ -221,7 +244,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
     """Write docs(doc_id, text) to `path`/frames and `path`/index, ordered by the columns `order`
     (`_tie` stands for a hash of the text)."""
     spark = ship(docs.sparkSession)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or task_number(docs)
     tie = F.xxhash64(text_of())  # a sampled key must be small
     keys = [(tie if c == "_tie" else F.col(c)).alias(f"_k{i}") for i, c in enumerate(order)]
     dealt = docs.select(*keys, F.col("doc_id"), text_of().alias("text"))
@@ -235,7 +258,9 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
 
         def flush():
             flat = np.frombuffer(b"".join(parts), dtype="<u4")
-            return pd.DataFrame({"shard": [shard], "frame": [frame], "n_ids": [len(flat)], "doc_ids": [list(ids)], "lengths": [list(lens)], "blocks": [pack(flat, plane_bits)]})
+            blocks = pack(flat, plane_bits)
+            room = [sum(map(len, b["planes"])) for b in blocks]
+            return pd.DataFrame({"shard": [shard], "frame": [frame], "n_ids": [len(flat)], "n_docs": [len(ids)], "block_bytes": [room], "doc_ids": [list(ids)], "lengths": [list(lens)], "blocks": [blocks]})
 
         for batch in batches_:
             docs_, texts, shard = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("shard")[0].as_py() if len(batch) else shard
@@ -258,13 +283,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
     before = dict(zip((r["shard"] for r in sums), itertools.accumulate((r["n"] for r in sums), initial=0)))
     starts = spark.createDataFrame(pa.table({"shard": pa.array(list(before), pa.int32()), "shard_start": pa.array(list(before.values()), pa.int64())}))
     within = Window.partitionBy("shard").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    index = frames.select(
-        "shard",
-        "frame",
-        "n_ids",
-        F.size("doc_ids").alias("n_docs"),
-        F.transform("blocks", lambda b: F.aggregate(b["planes"], F.lit(0), lambda a, p: a + F.length(p))).alias("block_bytes"),
-    )
+    index = frames.select("shard", "frame", "n_ids", "n_docs", "block_bytes")  # the planes are not read
     index = index.withColumn("before", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
     index.join(starts, "shard").select("shard", "frame", (F.col("shard_start") + F.col("before")).alias("first_start"), "n_ids", "n_docs", "block_bytes").write.parquet(f"{path}/index")
 
@@ -278,6 +297,8 @@ _FRAME_ARROW = pa.schema(
         ("shard", pa.int32()),
         ("frame", pa.int32()),
         ("n_ids", pa.int64()),
+        ("n_docs", pa.int32()),
+        ("block_bytes", pa.list_(pa.int64())),
         ("doc_ids", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int64())),
         ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))]))),
@@ -327,12 +348,13 @@ def in_stored_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
     Files of one write are ordered by the part number in their names.  Rows that come from no file are ordered by doc_id.
     """
+    file, row = free_names(docs, "file", "row")
     try:
-        placed = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        placed = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias(file), F.col("_metadata.row_index").alias(row))
         placed.schema  # noqa: B018  resolves the names
     except AnalysisException:
         return docs, ["doc_id", "_tie"]
-    return placed, ["_file", "_row"]
+    return placed, [file, row]
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
