@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batches, documents, span_hashes, stored, text_of, words_of
+from .shared import batches, bound, documents, free_names, span_hashes, stored, text_of, words_of
 
 # The base patterns, in their order.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -301,20 +301,29 @@ def scan_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, generalise: bool = True) -> DataFrame:
     """docs with personal data replaced by `[kind]`, and disclosing terms by `[term]` (or removed)."""
-    texts = docs.withColumn("key", F.xxhash64(text_of()))
-    spans = scan_personal(docs, alpha, support).where(F.size("base") > 0).select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "base", "added").dropDuplicates(["d", "k"])
-    both = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    spans = scan_personal(docs, alpha, support).where(F.size("base") > 0).dropDuplicates(["doc_id", "key"])
+    own, key, base, added = free_names(docs, "own", "key", "base", "added")
+    spans = spans.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("base").alias(base), F.col("added").alias(added))
+    both = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text_of()) == F.col(key)), "left")
     kinds = F.array(*[F.lit(f"[{k}]") if k != "term" or generalise else F.lit("") for k in KINDS])
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        begin = F.greatest(acc["at"], s["start"])
-        piece = F.concat(F.substr("text", acc["at"] + 1, begin - acc["at"]), F.element_at(kinds, s["kind"] + 1))
-        inside = s["end"] <= acc["at"]
-        return F.when(inside, acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], piece).alias("out")))
-
-    done = F.aggregate(F.sort_array(F.concat("base", "added")), zero, step, lambda a: F.concat(a["out"], F.substr("text", a["at"] + 1, F.length("text"))))
-    return both.withColumn("text", F.when(F.col("base").isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
+    def cut(spans):
+        """The pieces between spans, each with what stands for the span behind it; the spans that lie in earlier ones go."""
+        # how far the spans before each one reach: it is sorted by start, so a running maximum
+        reach = F.aggregate(spans, F.array().cast("array<int>"), lambda acc, s: F.concat(acc, F.array(F.greatest(s["end"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
+        return bound(reach, lambda ends: pieces(spans, ends))
+
+    def pieces(spans, ends):
+        before = F.concat(F.array(F.lit(0)), ends)
+        marked = F.zip_with(spans, F.slice(before, F.lit(1), F.size(spans)), lambda s, at: F.struct(s.alias("s"), at.alias("at")))
+        said = F.transform(
+            F.filter(marked, lambda x: x["s"]["end"] > x["at"]),
+            lambda x: F.concat(F.substr("text", x["at"] + 1, F.greatest(x["s"]["start"] - x["at"], F.lit(0))), F.element_at(kinds, x["s"]["kind"] + 1)),
+        )
+        return F.concat(F.array_join(said, ""), F.substr("text", F.coalesce(F.array_max(ends), F.lit(0)) + 1, F.length("text")))
+
+    done = bound(F.sort_array(F.concat(base, added)), cut)
+    return both.withColumn("text", F.when(F.col(base).isNull(), F.col("text")).otherwise(done)).select(*docs.columns)
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
