@@ -190,11 +190,12 @@ def test_decontamination(spark, docs, empty):
     hit = " ".join(w)
     swapped = " ".join("OTHER" if i in (3, 14) else x for i, x in enumerate(w))
     broken = " ".join(x if i % 2 else "no" for i, x in enumerate(w))
-    rows = [(1, f"before {hit.upper()} after"), (2, f"x {swapped} y"), (3, broken), (4, None), (5, " ".join(w[:6])), (6, f"one two three four five {hit[:0]}"), (1, f"before {hit.upper()} after")]
+    rows = [(1, f"before {hit.upper()} after"), (2, f"x {swapped} y"), (3, broken), (4, None), (5, " ".join(w[:6])), (6, f"one two three four five {hit[:0]}"), (7, "too short, or two! and two Two"), (1, f"before {hit.upper()} after")]
     train = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(10, item), (11, None), (12, "one two three four five"), (13, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, None), (12, "one two three four five"), (13, "too short"), (14, "TWO"), (15, "two three four five"), (16, "one two three four"), (17, "two one"), (18, "...")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.best_matches) for r in decontam.contaminated(train, bench).collect())
-    assert got == [(1, 10, 22), (1, 10, 22), (2, 10, 20), (6, 12, 5)]
+    assert got == [(1, 10, 22), (1, 10, 22), (2, 10, 20), (6, 12, 5), (6, 14, 1), (6, 15, 4), (6, 16, 4), (7, 13, 2), (7, 14, 1)]
+    assert [r.n_places for r in decontam.contaminated(train, bench).where("doc_id = 7 and item_id = 14").collect()] == [3]
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.contaminated(train, bench.limit(0)).count() == 0
     assert decontam.contaminated(docs, bench).count() == 0
@@ -415,17 +416,59 @@ def shingles(text):
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
 
 
+def brute_links(rows):
+    """(doc_id, n_links) of every row, from an inverted list of shingles."""
+    sets, by = [shingles(t) for _, t in rows], {}
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    same = Counter(sets)
+    out = Counter()
+    for k, (i, _) in enumerate(rows):
+        s, shared = sets[k], Counter(j for x in sets[k] for j in by[x])
+        out[i, sum(n >= 0.8 * (len(s) + len(sets[j]) - n) for j, n in shared.items()) - 1 if s else same[s] - 1] += 1
+    return out
+
+
 def test_near_links(docs, empty):
-    got = Counter((r.doc_id, r.n_links) for r in nearjoin.near_links(docs).collect() if r.doc_id is not None)
-    sets = [(i, shingles(t)) for i, t in texts()]
-    want = Counter()
-    for k, (i, s) in enumerate(sets):
-        if i is not None:
-            want[i, sum(j != k and (s == u or len(s & u) >= 0.8 * len(s | u) > 0) for j, (_, u) in enumerate(sets))] += 1
-    assert got == want
+    trace = []
+    got = Counter((r.doc_id, r.n_links) for r in nearjoin.near_links(docs, trace=trace).collect())
+    assert got == brute_links(texts())
+    assert [d for d, _ in trace] == list(range(9, 9 - len(trace), -1)) and (trace[-1][1] >= nearjoin.TARGET_RECALL or trace[-1][0] == nearjoin.least_depth())
     assert nearjoin.near_links(empty).count() == 0
 
 
+def test_near_links_ids(spark):
+    """Null ids, and different texts that share an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " tail"), (1, b), (1, c), (2, c + " tail"), (2, b + " tail"), (3, "lone text of six words here"), (None, None)]
+    got = nearjoin.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_links([(i, t or "") for i, t in rows])
+    assert Counter((r.doc_id, r.group_id, r.group_size) for r in got) == {(None, None, 2): 2, (1, 1, 2): 2, (2, 1, 2): 2, (3, 3, 1): 1, (None, None, 1): 1}
+
+
+def test_near_links_on_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    got = Counter((r.doc_id, r.n_links) for r in nearjoin.near_links(docs).collect())
+    assert got == brute_links([(r.doc_id, r.text or "") for r in docs.collect()])
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_near_links_by_nodes(spark, monkeypatch, blocks):
+    """A chain of texts, each near the next alone: components are compared node by node, and at each depth anew."""
+    monkeypatch.setattr(nearjoin, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(nearjoin, "BLOCK_ROWS", 4)
+    rows = [(k, " ".join(f"v{i}" for i in range(5 * k, 5 * k + 60))) for k in range(60)]
+    trace = []
+    got = Counter((r.doc_id, r.n_links) for r in nearjoin.near_links(spark.createDataFrame(rows, "doc_id long, text string"), trace=trace).collect())
+    assert got == brute_links(rows) and sum(n for _, n in got)
+
+
+def test_measured_recall():
+    assert nearjoin.measured_recall(0, 0, 0) == 0 and nearjoin.measured_recall(5, 5, 5) == 1
+    assert abs(nearjoin.measured_recall(80, 90, 72) - 0.98) < 1e-9
+
+
 def test_near_group_of_many(spark):
     base = [f"v{i}" for i in range(120)]
     rows = [(k, " ".join(base[:k % 100] + [f"edit{k}"] + base[k % 100 + 1 :])) for k in range(200)]
@@ -435,8 +478,8 @@ def test_near_group_of_many(spark):
     assert {r.group_id for r in got} == {0}
 
 
-def test_forest_depth():
-    d = nearjoin.forest_depth()
+def test_least_depth():
+    d = nearjoin.least_depth()
     assert nearjoin.expected_recall(d) >= nearjoin.TARGET_RECALL > nearjoin.expected_recall(d + 1)
 
 
