@@ -12,8 +12,8 @@ shared folder and reads it back as the next stage's docs.
 5. token_output: token ids in the order of the mix, as files; the result is the digest per document.
 
 Null text counts as empty (and goes in stage 1); empty tables give empty results; columns beside those of
-documents are carried along to stage 4.  Rows without a doc_id are filtered like others: stages 2 and 3 know them by a
-hash of their text above 2^62, so of a group a row with an id (below that) stays before one without.
+documents are carried along to stage 4, whatever their names.  Rows are known by doc_id and a hash of their text, so rows
+without a doc_id, and different texts that share one, are judged one by one; of a group a row with an id stays before one without.
 """
 
 from __future__ import annotations
@@ -25,35 +25,21 @@ from tessera.llm import decontam, langid, mixing, nearjoin, shared, tokens
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    said = langid.identify(docs, keep_text=True)
-    kept = said.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= langid.LEAST_SCORE))
-    return shared.fewer_files(kept.withColumn("lang", F.col("_lang_pred")).select(*docs.columns))
-
-
-def _with_ids(docs: DataFrame) -> DataFrame:
-    """docs where rows without a doc_id have a hash of their text in 2^62 .. 2^63 - 1 instead; _no_id marks them."""
-    made = F.xxhash64(shared.text_of()).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    return docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id"), made))
-
-
-def _without_ids(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).select(*columns)
+    said, lang, score = langid.identify_all(docs)
+    kept = said.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= langid.LEAST_SCORE))
+    return shared.fewer_files(kept.withColumn("lang", F.col(lang)).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns, docs = docs.columns, _with_ids(docs)
-    links = shared.stored(nearjoin.near_links(docs).select("doc_id", "group_id"), "pipeline-links", narrow=True)
-    gone = links.where(F.col("doc_id") != F.col("group_id")).select("doc_id")
-    # one row stays even where a row is repeated with its id
-    again = links.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return shared.fewer_files(_without_ids(nearjoin.keep_one(docs, gone, again), columns))
+    links = shared.stored(nearjoin.near_links(docs).select("doc_id", "t", "g", "group_size"), "pipeline-links", narrow=True)
+    return shared.fewer_files(nearjoin.keep_one(docs, links))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns, docs = docs.columns, _with_ids(docs)
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = shared.stored(found.select("doc_id").distinct(), "pipeline-leaks", narrow=True)
-    return shared.fewer_files(_without_ids(nearjoin.drop_ids(docs, leaks), columns))
+    found = found.where(F.col("best_words") >= decontam.LEAST_WORDS)  # shorter items are ordinary phrases
+    leaks = shared.stored(found.select("doc_id", "t").distinct(), "pipeline-leaks", narrow=True)
+    return shared.fewer_files(nearjoin.drop_rows(docs, leaks))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
