@@ -36,8 +36,8 @@ from .shared import documents, fewer_files, file_number, shared_dir, stored, tex
 
 SPACES = r"[\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 16
-MEMTABLES = 6
-FAN_IN = 4
+MEMTABLES = 3
+FAN_IN = 2
 RUN_SCHEMA = "digest binary, keep_id long, copies long"
 
 
@@ -62,9 +62,10 @@ def bloom_row(digests: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
 
     The rows that meet in the last step are at most `words`, a constant.
     """
-    filled = digests.groupBy(_word(F.col("digest"), words).alias("w")).agg(F.bit_or(_mask(F.col("digest"))).alias("bits"))
-    every = digests.sparkSession.range(words).join(filled, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bloom"))
+    every = digests.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    filled = digests.select(_word(F.col("digest"), words).alias("w"), _mask(F.col("digest")).alias("bits"))
+    filled = filled.unionAll(every).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "bits"))), lambda x: x["bits"]).alias("bloom"))
 
 
 def may_hold(bloom: Column, digest: Column, words: int = FILTER_WORDS) -> Column:
