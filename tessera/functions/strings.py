@@ -133,3 +133,8 @@ def xml_escape(c: Column) -> Column:
 def outside_outputs(path: Column, outputs: list[str]) -> Column:
     """Whether the file's folder is none of the output folders."""
     return ~F.coalesce(F.element_at(F.split(path, "/"), -2), F.lit("")).isin(outputs)
+
+
+def add_slashes(c: Column) -> Column:
+    """A backslash before each quote, double quote, backslash and NUL (which is written 0)."""
+    return F.replace(F.regexp_replace(c, r"([\\'\"\x00])", r"\\$1"), F.lit("\0"), F.lit("0"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -92,3 +92,26 @@ def choose_compression(rows: DataFrame, size: str, sizes: dict[str, str], rules:
             test = test & (F.col(sizes[codec]) < F.col(size))
         out = out.when(test, codec)
     return rows.withColumn("codec", out.otherwise("raw") if rules else F.lit("raw"))
+
+
+def dispatch(requests: dict[str, Column]) -> Column:
+    """The first of the named requests whose condition holds; `none` where none does."""
+    out = F
+    for name, asked in requests.items():
+        out = out.when(asked, name)
+    return out.otherwise("none")
+
+
+def stack_order(pending: DataFrame, link: str, order: str) -> DataFrame:
+    """Pending requests with their place on a stack: the last one comes first."""
+    return pending.withColumn("place", F.row_number().over(Window.partitionBy(link).orderBy(F.desc(order))))
+
+
+def in_flight(sent: DataFrame, acked: DataFrame, link: str, most: int) -> DataFrame:
+    """link, id, pending (messages in flight with this one) and admitted (no more than `most`) of each send.
+
+    sent and acked have link, id and at; an acknowledgement of the same moment frees its place first.
+    """
+    moves = sent.select(link, "id", "at", F.lit(1).alias("step")).unionAll(acked.select(link, "id", "at", F.lit(-1).alias("step")))
+    w = Window.partitionBy(link).orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return moves.withColumn("pending", F.sum("step").over(w)).where("step = 1").select(link, "id", "pending", (F.col("pending") <= most).alias("admitted"))

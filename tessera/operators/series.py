@@ -30,9 +30,21 @@ def rollup(per_minute: DataFrame, minutes: int, keep: int, xff: float = 0.5) ->
     return tier.select("start", "known", value.alias("average")).orderBy(F.desc("start")).limit(keep)
 
 
-def running_sum(samples: DataFrame, owner: str, order: list[str], value: str, name: str = "reading") -> DataFrame:
-    w = Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return samples.withColumn(name, F.sum(value).over(w))
+def running_sum(samples: DataFrame, owner: str, order: list[str], value: str, name: str = "reading", part: Column | None = None) -> DataFrame:
+    """Sum up to each sample of an owner.
+
+    part: something that does not fall along the order (a day).  Sums are formed within (owner, part), and
+    shifted by the owner's parts before, so an owner with many samples is no single task.
+    """
+    if part is None:
+        w = Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return samples.withColumn(name, F.sum(value).over(w))
+    cut = samples.withColumn("_part", part)
+    before = Window.partitionBy(owner).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(owner, "_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select(owner, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(owner, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn(name, F.sum(value).over(w)).join(parts, [owner, "_part"]).withColumn(name, F.col(name) + F.col("_before")).select(*samples.columns, name)
 
 
 def rolling_mean(samples: DataFrame, owner: str, order: list[str], value: str, rows: int, name: str = "mean") -> DataFrame:
@@ -98,3 +110,11 @@ def relative_index(times: DataFrame, time: str) -> DataFrame:
     rows = times.withColumn("rel_index", F.floor(F.col(time) * 100 / low + 0.5).cast("long"))
     i = F.col("rel_index")
     return rows.withColumn("class", F.when(i > 5000, "no").when(i > 500, "buggy").when(i > 200, "incomplete").when(i > 100, "almost").when(i.isNotNull(), "yes"))
+
+
+def schedule_gate(attempts: DataFrame, owner: str, order: list[str], failed: Column, success_wait: int, failure_wait: int) -> DataFrame:
+    """Adds `wait`, the seconds until the next attempt may follow, and `due`, whether the attempt comes after the wait of the one before."""
+    w = Window.partitionBy(owner).orderBy(*order)
+    rows = attempts.withColumn("wait", F.when(failed, F.lit(failure_wait)).otherwise(F.lit(success_wait)))
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    return rows.withColumn("due", F.coalesce(seconds(F.col("ts")) >= seconds(F.lag("ts").over(w)) + F.lag("wait").over(w), F.lit(True)))

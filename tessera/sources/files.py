@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -33,8 +34,26 @@ def describe_files(files: DataFrame, prefix: str = "") -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+def plain_path(path: str) -> str:
+    """A path as scans give it, without the scheme of local files."""
+    return re.sub("^file:/+", "/", path)
+
+
+def place(path: Column, top: str) -> Column:
+    """A scanned file's folder below `top` and its extension: the names of part files differ from run to run."""
+    below = strings.strip_prefix(F.regexp_replace(path, "^file:/+", "/"), plain_path(top) + "/")
+    return F.regexp_replace(below, r"/part-[^/]*?(\.[a-z]+)$", "$1")
+
+
+def path_entries(path: Column) -> Column:
+    """The folders that lead to a file, outermost first, and the file."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """The lines of a text at a path, or of all texts below it."""
+    return spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
 
 
 def process_list(lines_: DataFrame) -> DataFrame:
