@@ -320,7 +320,7 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL, trace: list | Non
             new = _verified(units, texts, depth, least)
             if found is not None:  # results of components that are done anew go
                 new = found.join(old, "comp", "left_anti").unionByName(new)
-            found = stored(new, "near-found", narrow=True)
+            found = stored(new, "near-found")
         recall = _recall(found, depth, least) if found is not None else 0.0
         if trace is not None:
             trace.append((depth, recall))

@@ -267,12 +267,14 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
         narrow=True,
     )
     for _ in range(max_rounds):
+        # no key is hot in what one task could hold, so one job does a round
+        kept = (lambda df: stored(df, f"{tag}-cc", narrow=True)) if input_bytes(pairs) > FILE_BYTES else (lambda df: df)
         # large-star: every neighbour larger than u is linked to u's smallest neighbour (or u itself)
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-cc", narrow=True)
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-cc", narrow=True)
+        low = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = kept(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small-star: smaller neighbours of u and u itself are linked to the smallest of them
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-cc", narrow=True)
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -280,11 +282,11 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
             .where("u <> v")
             .distinct()
         )
-        after = stored(small, f"{tag}-cc", narrow=True)
+        pairs = stored(small, f"{tag}-cc", narrow=True)
         # done when every node has one parent and no parent has a parent: the set is a forest of stars
-        fixed = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count() == 0
-        pairs = after
-        if fixed and pairs.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+        parents = pairs.select("v").join(pairs.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        twice = pairs.groupBy("u").count().where("count > 1").select(F.col("u").alias("v"))
+        if parents.unionAll(twice).isEmpty():
             break
     else:
         raise RuntimeError("connected components did not settle")
