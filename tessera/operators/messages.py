@@ -115,3 +115,10 @@ def in_flight(sent: DataFrame, acked: DataFrame, link: str, most: int) -> DataFr
     moves = sent.select(link, "id", "at", F.lit(1).alias("step")).unionAll(acked.select(link, "id", "at", F.lit(-1).alias("step")))
     w = Window.partitionBy(link).orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, 0)
     return moves.withColumn("pending", F.sum("step").over(w)).where("step = 1").select(link, "id", "pending", (F.col("pending") <= most).alias("admitted"))
+
+
+def nudges(acks: DataFrame, link: str, interval: int) -> DataFrame:
+    """The first moment of each check interval (seconds) in which a link has something to acknowledge, and how much."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = acks.select(link, (at - F.pmod(at, F.lit(interval))).alias("interval_start"), at.alias("at"))
+    return rows.groupBy(link, "interval_start").agg(F.min("at").alias("nudged_at"), F.count(F.lit(1)).alias("acks"))

@@ -118,3 +118,8 @@ def schedule_gate(attempts: DataFrame, owner: str, order: list[str], failed: Col
     rows = attempts.withColumn("wait", F.when(failed, F.lit(failure_wait)).otherwise(F.lit(success_wait)))
     seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
     return rows.withColumn("due", F.coalesce(seconds(F.col("ts")) >= seconds(F.lag("ts").over(w)) + F.lag("wait").over(w), F.lit(True)))
+
+
+def interval_samples(samples: DataFrame, owner: str, minutes: int, value: str, order: list[str]) -> DataFrame:
+    """The last value of each owner in each interval that has one."""
+    return samples.groupBy(owner, bucket(F.col("ts"), minutes).alias("start")).agg(F.max_by(value, F.struct(*order)).alias(value))

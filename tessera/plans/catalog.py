@@ -814,6 +814,17 @@ def schedule_gate(spark, d):
     return series.schedule_gate(fixtures.samples(spark, d), "owner", ["ts", "id"], F.col("event_type") == "error", 1200, 60).select("owner", "id", "wait", "due")
 
 
+@query("ack_nudges", "K8", with_(fixtures.MESSAGES_SQL, "SELECT link, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS interval_start, CAST(floor(epoch(min(ts))) AS BIGINT) AS nudged_at, count(*) AS acks FROM ack GROUP BY 1, 2"))
+def ack_nudges(spark, d):
+    """At most one nudge in each check interval of an hour: the first acknowledgement of a link gives it."""
+    return messages.nudges(fixtures.acks(spark, d), "link", 3600)
+
+
+@query("interval_samples", "K17", with_(fixtures.SAMPLES_SQL, "SELECT owner, time_bucket(INTERVAL '60 minutes', ts, TIMESTAMP '1970-01-01') AS start, arg_max(value, [CAST(epoch_us(ts) AS BIGINT), id]) AS value FROM smp GROUP BY 1, 2"))
+def interval_samples(spark, d):
+    return series.interval_samples(fixtures.samples(spark, d), "owner", 60, "value", ["ts", "id"])
+
+
 @query("backpressure", "K9", with_(fixtures.MESSAGES_SQL, """SELECT link, id, CAST(pending AS BIGINT) AS pending, pending <= 3 AS admitted FROM (
   SELECT link, id, step, sum(step) OVER (PARTITION BY link ORDER BY moved, step, id ROWS UNBOUNDED PRECEDING) AS pending FROM (
     SELECT link, id, written_at AS moved, 1 AS step FROM snt UNION ALL SELECT link, id, written_at + INTERVAL 6 HOUR, -1 FROM snt WHERE event_id % 3 <> 0)) WHERE step = 1"""))

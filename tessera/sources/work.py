@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
@@ -12,8 +13,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_tidied: set[str] = set()
+
+
 def root(spark: SparkSession) -> str:
-    """This application's folder under the cluster's spark.checkpoint.dir; only in local mode, and where that is unset, a temporary one."""
+    """This application's folder under the cluster's spark.checkpoint.dir; only in local mode, and where that is unset, a temporary one.
+
+    It is removed when the driver's program ends, or by `clean` before.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -23,6 +30,9 @@ def root(spark: SparkSession) -> str:
             top = os.environ["TESSERA_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, top, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(top)
+    if spark.sparkContext.applicationId not in _tidied:
+        _tidied.add(spark.sparkContext.applicationId)
+        atexit.register(_tidy, spark)
     return f"{top.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
 
 
@@ -35,3 +45,8 @@ def clean(spark: SparkSession) -> None:
     """Removes this application's folder; call it once the results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _tidy(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        clean(spark)
