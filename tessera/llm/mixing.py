@@ -16,8 +16,7 @@ counts.  Whole rows move once for numbering and, in `mix_in_order`, once to be l
 
 Defined cases: a null source counts as the source named by the empty string; documents of a source come in
 the order of md5(doc_id), then doc_id, then a hash of the text, so equal rows may swap without effect;
-null text is carried along; an empty table gives an empty result; a column with a clashing name is kept in
-`mix_in_order` (the operator's own columns are named `_mix_*`).
+null text is carried along; an empty table gives an empty result; columns of any name are kept (but for those that `mix` adds).
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, file_number
+from .shared import documents, file_number, free_names
 
 BLOCK = 32
 DENOMINATOR = 1000
@@ -92,8 +91,8 @@ def _source() -> Column:
     return F.coalesce(F.col("source"), F.lit(""))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """docs with _mix_block (number within the source), _mix_phase, _mix_slot and _mix_position."""
+def _placed(docs: DataFrame, weights: dict[str, int] | None, block: int) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name follows: struct<block,phase,slot,position>."""
     spark = docs.sparkSession
     counts = {r[0]: r[1] for r in docs.groupBy(_source().alias("s")).count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -111,41 +110,43 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     names = ["phase", "first", "end", "at", "period", "slots"]
     kind = pa.list_(pa.struct([(n, pa.list_(pa.int32()) if n == "slots" else pa.int64()) for n in names]))
     plans = [[dict(zip(names, p)) for p in ps] for ps in by_source.values()]
-    phases = spark.createDataFrame(pa.table({"_mix_s": pa.array(list(by_source), pa.string()), "_mix_plan": pa.array(plans, kind)}))
+    # names that docs does not have
+    src, h, bin_, t, n, before, i, plan_, mine, mix_ = free_names(docs, *"source_ hash bin text_hash n before i plan mine mix".split())
+    phases = spark.createDataFrame(pa.table({src: pa.array(list(by_source), pa.string()), plan_: pa.array(plans, kind)}))
 
     digits = min(MAX_BIN_DIGITS, max(1, math.ceil(math.log(max(1, max(counts.values(), default=1) / BIN_ROWS), 16))))
-    keyed = docs.withColumn("_mix_s", _source()).withColumn("_mix_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("_mix_bin", F.substring("_mix_h", 1, digits))
-    if "text" in docs.columns:
-        keyed = keyed.withColumn("_mix_t", F.xxhash64("text"))
-    else:
-        keyed = keyed.withColumn("_mix_t", F.lit(0))
-    bins = keyed.groupBy("_mix_s", "_mix_bin").agg(F.count(F.lit(1)).alias("_mix_c"))
-    before = Window.partitionBy("_mix_s").orderBy("_mix_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_mix_before", F.coalesce(F.sum("_mix_c").over(before), F.lit(0))).drop("_mix_c")
-    inside = Window.partitionBy("_mix_s", "_mix_bin").orderBy("_mix_h", "doc_id", "_mix_t")
-    numbered = keyed.withColumn("_mix_i", F.row_number().over(inside) - 1).join(bins, ["_mix_s", "_mix_bin"])
-    numbered = numbered.withColumn("_mix_i", F.col("_mix_i") + F.col("_mix_before")).withColumn("_mix_block", F.floor(F.col("_mix_i") / block))
-
-    placed = numbered.join(F.broadcast(phases), "_mix_s").withColumn(
-        "_mix_p", F.element_at(F.filter("_mix_plan", lambda p: (p["first"] <= F.col("_mix_block")) & (F.col("_mix_block") < p["end"])), 1)
-    )
-    k = F.col("_mix_block") - F.col("_mix_p.first")
-    per = F.size("_mix_p.slots")
+    keyed = docs.withColumn(src, _source()).withColumn(h, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    keyed = keyed.withColumn(bin_, F.substring(h, 1, digits)).withColumn(t, F.xxhash64("text") if "text" in docs.columns else F.lit(0))
+    bins = keyed.groupBy(src, bin_).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(src).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n)
+    inside = Window.partitionBy(src, bin_).orderBy(h, "doc_id", t)
+    numbered = keyed.withColumn(i, F.row_number().over(inside) - 1).join(bins, [src, bin_])
+    numbered = numbered.withColumn(i, F.col(i) + F.col(before))
+
+    at = F.floor(F.col(i) / block)
+    placed = numbered.join(F.broadcast(phases), src).withColumn(mine, F.element_at(F.filter(plan_, lambda p: (p["first"] <= at) & (at < p["end"])), 1))
+    mine = F.col(mine)
+    k, per = at - mine["first"], F.size(mine["slots"])
     # a plan shorter than a period holds all blocks of its phase
-    slot = F.col("_mix_p.at") + F.floor(k / per) * F.col("_mix_p.period") + F.get("_mix_p.slots", F.pmod(k, per).cast("int"))
-    return placed.select(
-        *docs.columns,
-        F.col("_mix_block").cast("long").alias("_mix_block"),
-        F.col("_mix_p.phase").alias("_mix_phase"),
-        slot.cast("long").alias("_mix_slot"),
-        (slot * block + F.pmod("_mix_i", F.lit(block))).cast("long").alias("_mix_position"),
-    )
+    slot = (mine["at"] + F.floor(k / per) * mine["period"] + F.get(mine["slots"], F.pmod(k, per).cast("int"))).cast("long")
+    position = (slot * block + F.pmod(i, F.lit(block))).cast("long")
+    out = F.struct(at.cast("long").alias("block"), mine["phase"].alias("phase"), slot.alias("slot"), position.alias("position"))
+    return placed.select(*docs.columns, out.alias(mix_)), mix_
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """docs with _mix_block (number within the source), _mix_phase, _mix_slot and _mix_position, which replace columns of these names."""
+    placed, mix_ = _placed(docs, weights, block)
+    told = {f"_mix_{k}": F.col(f"{mix_}.{k}") for k in ("block", "phase", "slot", "position")}
+    return placed.select(*[c for c in docs.columns if c not in told], *[v.alias(k) for k, v in told.items()])
 
 
 def mix_in_order(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """The columns of docs, rows laid down in the order of the mix, a range of it for each file that is to be written."""
-    return mix(docs, weights, block).repartitionByRange(file_number(docs), "_mix_position").sortWithinPartitions("_mix_position").select(*docs.columns)
+    placed, mix_ = _placed(docs, weights, block)
+    position = F.col(f"{mix_}.position")
+    return placed.repartitionByRange(file_number(docs), position).sortWithinPartitions(position).select(*docs.columns)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

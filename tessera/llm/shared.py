@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-
-
-def _root(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only in local mode, and where it is unset, a temporary local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = os.environ.get("TESSERA_LOCAL_CHECKPOINT")
-        if not root:
-            root = os.environ["TESSERA_LOCAL_CHECKPOINT"] = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+from ..sources import work
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder for an intermediate table, where driver and executors see it."""
-    return f"{_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Removes this application's intermediate tables; call it once the results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return work.fresh(spark, tag)
 
 
 FILE_BYTES, NARROW_BYTES = 16 << 20, 128 << 20
