@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
 from .shared import batches, bound, documents, free_names, span_hashes, stored, text_of, words_of
 
 # The base patterns, in their order.
@@ -287,6 +288,7 @@ def occurrences(docs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def scan_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """doc_id, key (a hash of the text), base and added (arrays of spans in code points) for each row."""
+    ship(docs.sparkSession)  # before any plan is built that needs the package
     seen = stored(scanned(docs), "pii-scan")
     rules = stored(disclosing_terms(seen, docs, alpha, support), "pii-rules")
     none = F.array().cast(SPAN)
