@@ -95,9 +95,10 @@ def ratio_table(samples: DataFrame) -> list[float]:
     """log2 P(b|a, random) - log2 P(b|a, identifier) at [a * n + b]; letters outside the alphabet share one place; 0 at JOINTS."""
     n = len(ALPHABET) + 1
     code = lambda c: F.instr(F.lit(ALPHABET), c) if isinstance(c, str) else F.call_function("instr", F.lit(ALPHABET), c)
-    codes = samples.select("label", F.transform(F.split("word", ""), code).alias("c"))
-    pairs = codes.select("label", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * n + b)).alias("ab"))
-    counts = {(r["label"], r["ab"]): r["count"] for r in pairs.groupBy("label", "ab").count().collect()}  # 2 * n^2 rows at most
+    words = samples.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))  # frequent words are taken apart once
+    codes = words.select("label", "n", F.transform(F.split("word", ""), code).alias("c"))
+    pairs = codes.select("label", "n", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * n + b)).alias("ab"))
+    counts = {(r["label"], r["ab"]): r["n"] for r in pairs.groupBy("label", "ab").agg(F.sum("n").alias("n")).collect()}  # 2 * n^2 rows at most
     logs = []
     for label in (0, 1):
         # a letter's followers are smoothed by the letters' own frequencies, those by half a count each
