@@ -10,12 +10,13 @@ Similarity is the Jaccard coefficient of the sets of 5-word shingles; pairs of 0
 3. *Descent*: prefixes are compared at the full depth first.  Classes under one trie node are candidates, and connected
    candidates form components.  After verification the recall is measured by capture and recapture: the first and the second
    half of the trees find links independently, so of `a` and `b` links found by either half, `m` by both, about (a - m)(b - m) / m
-   are missed.  While some stratum of similarity (`BINS`) falls short of the target, all matched prefixes are shortened by one label and
-   the components that grow are verified anew; others keep their result.  At `least_depth()` the recall expected at
+   are missed.  While some stratum of similarity (`BINS`) falls short of the target, all matched prefixes are shortened by one label, and
+   of the components that grow the pairs that are new are verified.  At `least_depth()` the recall expected at
    the threshold itself reaches the target, so the descent ends there at the latest, as it does if there is no link to measure by.
-4. *Verification*: exact, by sets of 64-bit shingle hashes.  A component is compared as a whole in blocks (each pair of blocks is a unit of work),
-   unless it is large and its trie nodes hold fewer rows to move: then each node is compared, and a pair counts
-   in the first tree that has it under one node.  A unit returns counts per class and a spanning forest of its links, never the pairs.
+4. *Verification*: exact, by sets of 64-bit shingle hashes.  A component is compared as a whole: its largest part that has been compared before
+   (its base) in blocks against blocks of the rest, and those among themselves; each pair of blocks is a unit of work.  A large component
+   whose trie nodes hold fewer rows to move is compared node by node, and a pair counts in the first tree that has it under one node.
+   A unit returns counts per class and a spanning forest of its links, never the pairs.
 5. Links' connected components are the groups, named by their smallest doc_id.
 
 Scale: texts are read twice; the second reading is cut down by a fixed-size bitmap to one row of each class that has
@@ -52,6 +53,7 @@ BINS = [0.8, 0.84, 0.88, 0.92]
 BLOCK_ROWS = 64
 MAX_BLOCKS = 48
 BLOCK_BYTES = 8 << 20
+NODE_SHARE = 1.0  # nodes are compared where they move fewer rows than this share of what the whole would
 
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -161,8 +163,8 @@ def _depths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def comparer(least: int, depth: int):
     """The function that compares one unit: all pairs of one block, or all pairs between two blocks.
 
-    In a unit of a trie node (tree >= 0) a pair counts if no earlier tree has it under one node of this depth.  Besides a
-    row per class with links there is one row of counts for the recall: for each depth from `least` on and each of BINS the
+    Pairs of one core have been compared before, and so have pairs under one node of a greater depth.  In a unit of a
+    trie node (tree >= 0) a pair counts if no earlier tree has it under one node of this depth.  Besides a row per class with links there is one row of counts for the recall: for each depth from `least` on and each of BINS the
     links under one node in the first half of the trees, in the second half, and in both.
     """
 
@@ -181,16 +183,17 @@ def comparer(least: int, depth: int):
         both = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
         union = n[left][:, None] + n[right][None, :] - both
         linked = (both > 0) & (both >= THRESHOLD * union - 1e-9)
-        if same:
-            np.fill_diagonal(linked, False)
+        core = pdf["core"].to_numpy()
+        linked &= core[left][:, None] != core[right][None, :]
         stats = np.zeros((DEPTH - least + 1, len(BINS), 3), dtype=np.int64)
         for i in np.flatnonzero(linked.any(1)):
             at = np.flatnonzero(linked[i])
             deep = _depths(labels[left[i]][None], labels[right[at]])
+            mine = deep.max(1) <= depth if depth < DEPTH else np.ones(len(at), dtype=bool)
             if tree >= 0:
-                mine = (deep[:, tree] >= depth) & (deep[:, :tree] < depth).all(1)
-                linked[i, at[~mine]] = False
-                at, deep = at[mine], deep[mine]
+                mine &= (deep[:, tree] >= depth) & (deep[:, :tree] < depth).all(1)
+            linked[i, at[~mine]] = False
+            at, deep = at[mine], deep[mine]
             if same:  # each pair is met twice
                 deep, at = deep[at > i], at[at > i]
             kind = np.searchsorted(BINS, both[i, at] / union[i, at] + 1e-9, "right") - 1
@@ -229,38 +232,55 @@ def comparer(least: int, depth: int):
     return compare
 
 
+def _blocks(n, size):
+    """Blocks of BLOCK_ROWS classes, MAX_BLOCKS of them unless a block would exceed BLOCK_BYTES; none for none."""
+    count = F.greatest(F.least(F.ceil(n / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    return F.when(n > 0, count).otherwise(0).cast("int")
+
+
 def _units(members: DataFrame, leaves: DataFrame, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """comp, tree, prefix, id, block, blocks: how the components of members(id, comp, size) are compared; and those done by nodes.
+    """comp, tree, prefix, id, core, block, low, high: how the components of members(id, size, comp, core) are compared; and
+    the components that are done by nodes.  A row meets the blocks from `low` to `high`.
 
-    A component goes whole (tree -1), in blocks of BLOCK_ROWS classes, MAX_BLOCKS of them unless a block would exceed BLOCK_BYTES.  One that
-    needs all of MAX_BLOCKS goes node by node if that moves fewer rows.
+    A component goes whole (tree -1): the blocks of its base against the others, and those against all.  One that
+    needs MAX_BLOCKS goes node by node if that moves fewer rows.
     """
-    split = None
-    blocks = lambda n, b: F.greatest(F.least(F.ceil(F.col(n) / BLOCK_ROWS), F.lit(MAX_BLOCKS)), F.ceil(F.col(b) / BLOCK_BYTES), F.lit(1)).cast("int")
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
-    sizes = stored(sizes.withColumn("blocks", blocks("n", "bytes")), "near-sizes", narrow=True)
-    whole = members.join(sizes.select("comp", "blocks"), "comp").select("comp", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix"), "id", "blocks")
-    large = sizes.where(F.col("blocks") >= MAX_BLOCKS)
-    if not large.isEmpty():
-        rows = leaves.select("id", "size", "tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"))
-        rows = rows.join(members.select("id", "comp"), "id").join(large.select("comp"), "comp")
-        h = F.xxhash64("id")
-        nodes = rows.groupBy("comp", "tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")).where("n > 1")
-        # nodes of the same members are compared in the first tree alone
-        nodes = nodes.groupBy("comp", "n", "bytes", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("p")).select("comp", "p.*", blocks("n", "bytes").alias("blocks"), "n")
-        nodes = stored(nodes, "near-nodes")
-        moved = nodes.groupBy("comp").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved"))
-        split = stored(large.join(moved, "comp").where(F.col("moved") < F.col("n") * F.col("blocks")).select("comp"), "near-split", narrow=True)
-        by_node = rows.join(nodes.join(split, "comp", "left_semi").drop("n"), ["comp", "tree", "prefix"]).select("comp", "tree", "prefix", "id", "blocks")
-        whole = whole.join(split, "comp", "left_anti").unionByName(by_node)
-    return whole.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), split
+    by_core = members.groupBy("comp", "core").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    sizes = by_core.groupBy("comp").agg(F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.max(F.struct("n", "core", "size")).alias("base"))
+    base = F.when(F.col("base.n") > 1, F.col("base"))
+    n, size = F.coalesce(base["n"], F.lit(0)), F.coalesce(base["size"], F.lit(0))
+    sizes = sizes.select("comp", "n", n.alias("n_base"), base["core"].alias("base"), _blocks(n, size).alias("old"), _blocks(F.col("n") - n, F.col("bytes") - size).alias("new")).where("n > 1")
+    sizes = stored(sizes, "near-sizes", narrow=True)
+    mine = F.coalesce(F.col("core") == F.col("base"), F.lit(False))
+    at = F.xxhash64("id")
+    whole = members.join(sizes, "comp").select(
+        "comp", F.lit(-1).alias("tree"), F.lit(b"").alias("prefix"), "id", "core",
+        F.when(mine, F.pmod(at, F.col("old"))).otherwise(F.col("old") + F.pmod(at, F.col("new"))).cast("int").alias("block"),
+        F.when(mine, F.col("old")).otherwise(0).alias("low"), (F.col("old") + F.col("new") - 1).alias("high"),
+    )
+    large = sizes.where(F.col("old") + F.col("new") >= MAX_BLOCKS)
+    if large.isEmpty():
+        return whole, None
+    rows = leaves.select("id", "size", "tree", F.substr("label", F.lit(1), F.lit(2 * depth)).alias("prefix"))
+    rows = rows.join(members.select("id", "comp", "core"), "id").join(large.select("comp"), "comp")
+    h = F.xxhash64("id")
+    nodes = rows.groupBy("comp", "tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("y")).where("n > 1")
+    # nodes of the same members are compared in the first tree alone
+    nodes = nodes.groupBy("comp", "n", "bytes", "x", "y").agg(F.min(F.struct("tree", "prefix")).alias("p"))
+    nodes = stored(nodes.select("comp", "p.*", _blocks(F.col("n"), F.col("bytes")).alias("blocks"), "n"), "near-nodes")
+    moved = nodes.groupBy("comp").agg(F.sum(F.col("n") * F.col("blocks")).alias("moved"))
+    cost = F.col("n_base") * F.col("new") + (F.col("n") - F.col("n_base")) * (F.col("old") + F.col("new"))
+    split = stored(large.join(moved, "comp").where(F.col("moved") < cost * NODE_SHARE).select("comp"), "near-split", narrow=True)
+    by_node = rows.join(nodes.join(split, "comp", "left_semi").drop("n"), ["comp", "tree", "prefix"]).select(
+        "comp", "tree", "prefix", "id", "core", F.pmod(at, F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("low"), (F.col("blocks") - 1).alias("high")
+    )
+    return whole.join(split, "comp", "left_anti").unionByName(by_node), split
 
 
 def _verified(units: DataFrame, texts: DataFrame, depth: int, least: int) -> DataFrame:
     """comp, id, n_texts, n_docs, root, stats from the exact comparison of the units."""
-    units = units.join(texts.select("id", "text", "copies", "labels"), "id")
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("comp", "tree", "prefix", "id", "text", "copies", "labels", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    units = units.join(texts.select("id", "text", "copies", "labels"), "id").withColumn("other", F.explode(F.sequence("low", "high")))
+    units = units.select("comp", "tree", "prefix", "id", "core", "text", "copies", "labels", "block", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
     return units.groupBy("comp", "tree", "prefix", "u", "v").applyInPandas(comparer(least, depth), "comp long, id long, n_texts long, n_docs long, root long, stats array<long>")
 
 
@@ -297,7 +317,7 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL, trace: list | Non
     leaves = leaves.withColumn("low", low).join(stored(nodes, "near-low"), ["tree", "low"]).select("id", "size", "tree", "label")
     leaves = stored(leaves.repartitionByRange(file_number(classes), "tree", "label").sortWithinPartitions("tree", "label"), "near-forest")
 
-    members = stored(leaves.select("id", "size").distinct().withColumn("comp", F.col("id")), "near-members", narrow=True)
+    members = stored(leaves.select("id", "size").distinct().select("id", "size", F.col("id").alias("comp"), F.col("id").alias("core")), "near-members", narrow=True)
     asked = members.join(searched.select("id", F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"), "labels", "copies"), "id")
     bloom = bloom_row(asked.select(F.xxhash64("rep", "rep_t").alias("digest"))).scalar()
     held = _rows(docs).where(may_hold(bloom, F.xxhash64("doc_id", "t"))).join(asked, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("t") == F.col("rep_t")))
@@ -310,17 +330,23 @@ def near_links(docs: DataFrame, target: float = TARGET_RECALL, trace: list | Non
         ends = rows.groupBy("tree", "prefix").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tree", "prefix", "lo")
         edges = rows.join(stored(ends, "near-ends"), ["tree", "prefix"]).where("comp <> lo").select(F.col("comp").alias("a"), F.col("lo").alias("b"))
         merged = stored(connected_components(edges, "near-candidates"), "near-merged", narrow=True)
-        old, again = merged.select(F.col("id").alias("comp")), merged.select(F.col("component").alias("comp"))
+        again = merged.select(F.col("component").alias("comp"))
         if by_node is not None:  # these were compared down to the last depth only
-            old, again = old.unionByName(by_node).distinct(), again.unionByName(by_node.join(old, "comp", "left_anti"))
+            again = again.unionByName(by_node.join(merged.select(F.col("id").alias("comp")), "comp", "left_anti"))
+        again = stored(again.distinct(), "near-again", narrow=True)
         if not again.isEmpty():
             moved = members.join(merged.withColumnRenamed("id", "comp"), "comp", "left")
-            members = stored(moved.select("id", "size", F.coalesce("component", "comp").alias("comp")), "near-members", narrow=True)
-            units, by_node = _units(members.join(again.distinct(), "comp", "left_semi"), leaves, depth)
-            new = _verified(units, texts, depth, least)
-            if found is not None:  # results of components that are done anew go
-                new = found.join(old, "comp", "left_anti").unionByName(new)
-            found = stored(new, "near-found")
+            members = moved.select("id", "size", F.coalesce("component", "comp").alias("comp"), "core")
+            members = stored(members, "near-members", narrow=True)
+            units, by_node = _units(members.join(again, "comp", "left_semi"), leaves, depth)
+            new = stored(_verified(units, texts, depth, least), "near-found")
+            found = new if found is None else found.unionByName(new)
+            # what was compared as a whole is a core from now on
+            if by_node is None:
+                members = members.withColumn("core", F.col("comp"))
+            else:
+                parts = by_node.select("comp", F.lit(True).alias("by_node"))
+                members = members.join(parts, "comp", "left").select("id", "size", "comp", F.when(F.col("by_node"), F.col("core")).otherwise(F.col("comp")).alias("core"))
         recall = _recall(found, depth, least) if found is not None else 0.0
         if trace is not None:
             trace.append((depth, recall))
