@@ -453,10 +453,11 @@ def test_near_links_on_documents(spark, sf):
     assert got == brute_links([(r.doc_id, r.text or "") for r in docs.collect()])
 
 
-@pytest.mark.parametrize("blocks", [1, 3])
-def test_near_links_by_nodes(spark, monkeypatch, blocks):
-    """A chain of texts, each near the next alone: components are compared node by node, and at each depth anew."""
-    monkeypatch.setattr(nearjoin, "MAX_BLOCKS", blocks)
+@pytest.mark.parametrize("share", [0, 1000])
+def test_near_links_by_nodes(spark, monkeypatch, share):
+    """A chain of texts, each near the next alone: components of several blocks go as a whole, or all of them by nodes."""
+    monkeypatch.setattr(nearjoin, "NODE_SHARE", share)
+    monkeypatch.setattr(nearjoin, "MAX_BLOCKS", 3)
     monkeypatch.setattr(nearjoin, "BLOCK_ROWS", 4)
     rows = [(k, " ".join(f"v{i}" for i in range(5 * k, 5 * k + 60))) for k in range(60)]
     trace = []
