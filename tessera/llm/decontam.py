@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .shared import batches, documents, mix64, text_of, words_of
+from .shared import batches, documents, empty, frugal, mix64, text_of, words_of
 
 # The masks for items of so many words or more.  From 5 words on one may differ, from 10 two, from 15 three,
 # and four in the windows of 20; what hits each set of changes in a shorter window does so in a longer one.
@@ -93,11 +93,11 @@ class SeedTable:
         bits[(h % np.uint64(self.BITS)).astype(np.int64)] = True
         return h[order], places[order], np.packbits(bits)
 
-    def _hits(self, words: np.ndarray, first: np.ndarray, mask: str, keys: np.ndarray, packed: np.ndarray, name: str):
+    def _hits(self, words: np.ndarray, first: np.ndarray, mask: str, keys: np.ndarray, packed: np.ndarray):
         """(word, text, first key, last key + 1) of the words at which a window with a known hash begins."""
         h = masked_hashes(words, mask)
-        bits = self._bits(name, packed)
-        at = np.flatnonzero(bits[(h % np.uint64(self.BITS)).astype(np.int64)])
+        bit = (h % np.uint64(self.BITS)).astype(np.int64)
+        at = np.flatnonzero((packed[bit >> 3] << (bit & 7).astype(np.uint8)) & 0x80)  # not unpacked: that would be 4 MB for each mask and worker
         lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
         at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
         text = np.searchsorted(first, at, "right") - 1
@@ -107,7 +107,7 @@ class SeedTable:
     def exact(self, words: np.ndarray, first: np.ndarray):
         """(text, item, places, first word, words) for the short items, which agree as a whole."""
         for mask, keys, items, packed in self.short:
-            at, text, lo, hi = self._hits(words, first, mask, keys, packed, f"short{mask}")
+            at, text, lo, hi = self._hits(words, first, mask, keys, packed)
             n = hi - lo
             which = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
             pair = np.repeat(text, n) * len(self.ids) + items[which]
@@ -119,19 +119,13 @@ class SeedTable:
         """(text, item, distance) of all hits: distance is the text's word position less the item's."""
         found = set()
         for mask, keys, places, packed in self.tables:
-            hits = self._hits(words, first, mask, keys, packed, mask)
+            hits = self._hits(words, first, mask, keys, packed)
             for p, d, a, b in zip(*(x.tolist() for x in hits)):
                 for q in places[a:b].tolist():
                     item = int(self.owner[q])
                     found.add((d, item, (p - int(first[d])) - (q - int(self.first[item]))))
         return found
 
-    def _bits(self, mask: str, packed: np.ndarray) -> np.ndarray:
-        live = self.__dict__.setdefault("_live", {})  # unpacked once in each worker
-        if mask not in live:
-            live[mask] = np.unpackbits(packed).view(bool)
-        return live[mask]
-
     def overlap(self, words: np.ndarray, item: int, distance: int) -> tuple[int, int, int] | None:
         """(first word, words, matches) of the longest agreeing stretch on this diagonal, if one is good enough."""
         bench = self.words[self.first[item] : self.first[item + 1]]
@@ -168,11 +162,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_id, n_places (diagonals), and first word, words and matching words of the best place."""
     spark = ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("t", F.xxhash64("text"))
-    out = spark.createDataFrame([], SCHEMA)
+    out = empty(spark, SCHEMA)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(SeedTable(items))
 
+        @frugal("decontamination")
         def scan(batches_, shared=shared):
             table = shared.value
             for batch in batches_:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ship import ship
-from .shared import batches, documents, free_names
+from .shared import batches, documents, free_names, frugal
 
 HIDDEN = 8
 STRETCH = 64
@@ -235,6 +235,7 @@ def identify(docs: DataFrame, net: ByteGru | None = None) -> DataFrame:
     """docs(doc_id, text, lang) -> doc_id, held_out, lang_pred, score."""
     label = _labeller(docs, net)
 
+    @frugal("language_id")
     def predict(batches_):
         for batch in batches_:
             said, score = label(batch.column("text").to_pylist())
@@ -250,6 +251,7 @@ def identify_all(docs: DataFrame, net: ByteGru | None = None) -> tuple[DataFrame
     lang, score = free_names(docs, "lang_pred", "score")
     names = docs.columns
 
+    @frugal("language_id")
     def predict(batches_):
         for batch in batches_:
             said, scores = label(batch.column("text").to_pylist())

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ship import ship
 from .dedup import bloom_row, may_hold
-from .shared import batches, connected_components, documents, file_number, free_names, mix64, shingle_hashes, stored, text_of, words_of
+from .shared import batches, connected_components, documents, file_number, free_names, frugal, give_back, mix64, shingle_hashes, stored, text_of, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -53,6 +53,7 @@ BINS = [0.8, 0.84, 0.88, 0.92]
 BLOCK_ROWS = 64
 MAX_BLOCKS = 48
 BLOCK_BYTES = 8 << 20
+LARGE_UNIT = 4 << 20  # characters; after such a unit a worker gives freed memory back
 NODE_SHARE = 1.0  # nodes are compared where they move fewer rows than this share of what the whole would
 
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,6 +113,7 @@ def signatures(texts: list[str]) -> tuple[list[bytes], list[int], list[bytes]]:
 def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), key, n_words, size and labels of every row."""
 
+    @frugal("near_join")
     def sign(batches_):
         for batch in batches_:
             texts = batch.column("text").to_pylist()
@@ -220,6 +222,8 @@ def comparer(least: int, depth: int):
                 break
             root = new
         hit, told = np.flatnonzero(texts_ > 0), int(stats.any())
+        if sum(map(len, texts)) > LARGE_UNIT:
+            give_back()
         rows = {
             "id": pd.array([*ids[hit], *[None] * told], dtype="Int64"),
             "n_texts": [*texts_[hit], *[0] * told],

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
-from .shared import batches, documents, free_names, shared_dir, span_hashes, task_number, text_of
+from .shared import _CACHED, batches, documents, free_names, frugal, shared_dir, span_hashes, task_number, text_of
 
 BLOCK = 32_768
 FRAME = 262_144
@@ -228,13 +228,10 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    if ("encoder", name) not in _CACHED:
+        _CACHED["encoder", name] = Encoder(name)
+    return _CACHED["encoder", name]
 
 
 # ------------------------------------------------------------------ write and read
@@ -252,6 +249,7 @@ def write_tokens(docs: DataFrame, path: str, order: list[str], tokenizer: str =
     # shard numbers are those of the range partitions, so they follow the order
     dealt = dealt.repartitionByRange(n, *names).sortWithinPartitions(*names).select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
+    @frugal("token_output")
     def encode(batches_):
         enc, end = encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
         ids, lens, parts, total, frame, shard = [], [], [], 0, 0, 0
@@ -318,6 +316,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
     frames = read_frames(ship(spark), path).join(read_index(spark, path).select("shard", "frame", "first_start"), ["shard", "frame"])
 
+    @frugal("token_output")
     def digest(batches):
         for batch in batches:
             for doc_ids, lens, blocks, start in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "blocks", "first_start"))):

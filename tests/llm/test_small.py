@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontam, dedup, langid, mixing, nearjoin, pii, rindex, secrets, tokens
+from tessera.llm import chat, decontam, dedup, langid, mixing, nearjoin, pii, rindex, secrets, shared, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, norm string, t string, size string, h string"
 WORDS = [f"w{i}x{i * 7 % 11}" for i in range(400)]
@@ -573,3 +574,35 @@ def test_queries_have_oracles(spark, sf, duck):
     for name, sql in queries.ORACLE_SQL.items():
         same(queries.QUERIES[name](spark, sf), duck, sql)
     json.dumps(sorted(queries.QUERIES))
+
+
+# ------------------------------------------------------------------ memory of the Python workers
+
+
+def test_seed_table_grows_by_no_search():
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(k))) for k in (1, 3, 7, 12, 30)]
+    table = decontam.SeedTable(items)
+    size = len(pickle.dumps(table))
+    words, first, _, _ = shared.words_of([t for _, t in items] + ["none of them"])
+    assert {(d, i) for d, i, _ in table.search(words, first)} == {(2, 2), (3, 3), (4, 4)}
+    assert {(d, i) for d, i, *_ in table.exact(words, first)} == {(0, 0), (1, 1)}
+    assert len(pickle.dumps(table)) == size
+
+
+def test_decontamination_starts_no_second_kind_of_worker(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    found = decontam.contaminated(docs, spark.range(1).select(F.col("id").alias("item_id"), F.lit("two three").alias("text")))
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString() and found.count() == 3
+    assert found.schema.simpleString() == "struct<" + ",".join(f"{n}:bigint" for n in decontam.SCHEMA.replace(" long", "").split(", ")) + ">"
+    nothing = decontam.contaminated(docs, spark.range(0).select(F.col("id").alias("item_id"), F.lit("x").alias("text")))
+    assert nothing.collect() == [] and nothing.schema == found.schema
+
+
+def test_worker_caches_last_as_long_as_one_operator(monkeypatch):
+    monkeypatch.setattr(shared, "_OWNER", ["a"])
+    monkeypatch.setattr(shared, "_CACHED", {"big": 1})
+    seen = []
+    scan = lambda batches_: (seen.append((x, dict(shared._CACHED))) for x in batches_)
+    for name, x in (("a", 1), ("b", 2)):
+        list(shared.frugal(name)(scan)([x]))
+    assert seen == [(1, {"big": 1}), (2, {})]
