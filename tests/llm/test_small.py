@@ -153,6 +153,14 @@ def test_lsm_compaction(spark):
     assert entries(index.lookup(digest_rows(spark, [(b"a", 0), (b"b", 0), (b"z", 0)]))) == {(b"a", 3, 3), (b"b", 6, 1)}
 
 
+def test_lsm_runs_are_read_in_order(spark):
+    index = dedup.LsmDigestIndex(spark, fan_in=2)
+    digests = [bytes([65 + i]) * (1 + 40 * i) for i in range(26)]  # the later a file, the larger
+    index.put(digest_rows(spark, [(d, 1) for d in digests]))
+    assert len(index.run(index.levels[0][0]).inputFiles()) > 1
+    assert [bytes(r.digest) for r in index.run(index.levels[0][0]).collect()] == digests
+
+
 def test_lsm_filters_skip_runs(spark):
     index = dedup.LsmDigestIndex(spark, fan_in=9)
     for batch in ([(b"a", 5), (b"b", 6)], [(b"c", 9)], [(b"b", 2)]):
